@@ -115,7 +115,7 @@ def find_matches(bench: Benchmark, table: np.ndarray, where: np.ndarray) -> tupl
     first = np.ones(len(item), bool)
     first[1:] = (item[1:] != item[:-1]) | (place[1:] - inside[1:] != place[:-1] - inside[:-1]) | (place[1:] != place[:-1] + 1)
     heads = np.flatnonzero(first)
-    tails = np.append(heads[1:], len(item)) - 1
+    tails = np.append(heads, len(item))[1:] - 1
     return item[heads], inside[heads], place[heads], place[tails] + size[tails] - place[heads]
 
 

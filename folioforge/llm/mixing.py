@@ -54,9 +54,18 @@ def fill_targets(sizes: list[float], weights: list[float], budget: float, most_t
 
 
 def fit_subset(lengths: np.ndarray, counts: np.ndarray, goal: int, gap: int = GAP) -> np.ndarray:
-    """How many of each length to take so that their sum comes as near to ``goal`` as it can from
-    below, and to within one length from above where that is nearer. ``lengths`` are distinct and
-    above 0."""
+    """How many of each length to take so that their sum comes near to ``goal``: from below, or from
+    above, by leaving out what comes near to the rest. ``lengths`` are distinct and above 0."""
+    below = _fit_below(lengths, counts, goal, gap)
+    short = goal - int((below * lengths).sum())
+    if short <= 0:
+        return below
+    out = _fit_below(lengths, counts, int((lengths * counts).sum()) - goal, gap)
+    above = counts.astype(np.int64) - out
+    return above if int((above * lengths).sum()) - goal < short else below
+
+
+def _fit_below(lengths: np.ndarray, counts: np.ndarray, goal: int, gap: int) -> np.ndarray:
     order = np.argsort(-lengths, kind="stable")
     size, most = lengths[order].astype(np.int64), counts[order].astype(np.int64)
     total = int((size * most).sum())
@@ -99,15 +108,10 @@ def fit_subset(lengths: np.ndarray, counts: np.ndarray, goal: int, gap: int = GA
             spare -= lot
             lot *= 2
     made = states[-1].bit_length() - 1
-    short = left - made
     for (i, lot), before in zip(reversed(parts), reversed(states[:-1])):
         if not before >> made & 1:
             took[i] += lot
             made -= lot * int(size[i])
-    if short:
-        over = [i for i in range(len(size)) if took[i] < most[i] and size[i] < 2 * short]
-        if over:
-            took[min(over, key=lambda i: abs(int(size[i]) - short))] += 1
     out = np.zeros(len(lengths), np.int64)
     out[order] = took
     return out

@@ -32,7 +32,7 @@ NEAR = 5
 #: Insults, and words for the person spoken to.
 INSULTS = "idiot idiots moron morons stupid loser losers scum trash garbage pathetic worthless disgusting clown fool dumb imbecile cretin bastard bitch asshole shit fuck fucking hate kill vermin filth parasite pig rat retard freak idioten dumm blöd abschaum arschloch scheiße hure trottel idiote idiots connard salope ordure stupide débile merde crétin idiota estúpido imbécil basura puta mierda cabrón".split()
 SECOND_PERSON = "you your yours yourself youre u ur du dich dir dein deine deinen ihr euch euer tu te toi ton ta tes vous votre vos ti tú tus usted ustedes vosotros".split()
-FEATURES = ("log_words", "lexicon", "lexicon_hits", "learnt", "learnt_hits", "disguised", "disguised_hits", "near_you", "second_person", "capitals", "shouted", "exclamations", "questions", "punctuation", "punctuation_runs", "mixed_words", "single_letters")
+FEATURES = ("insults", "insult_hits", "log_words", "lexicon", "lexicon_hits", "learnt", "learnt_hits", "disguised", "disguised_hits", "near_you", "second_person", "capitals", "shouted", "exclamations", "questions", "punctuation", "punctuation_runs", "mixed_words", "single_letters")
 
 _SAME = np.arange(256, dtype=np.uint8)
 _LETTER = words.byte_set((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
@@ -85,7 +85,7 @@ def features(column: pa.Array, lexicon: np.ndarray, learnt: np.ndarray) -> np.nd
         runs = np.zeros(len(marks), bool)
         runs[1:] = marks[1:] & marks[:-1]
         out.append(np.column_stack([
-            np.log1p(s.counts), row(base) / n, np.minimum(row(base), 20), row(own) / n, np.minimum(row(own), 20), row(hidden) / n, np.minimum(row(hidden), 20), row(near) / n, row(you) / n,
+            row(toxic) / n, np.minimum(row(toxic), 20), np.log1p(s.counts), row(base) / n, np.minimum(row(base), 20), row(own) / n, np.minimum(row(own), 20), row(hidden) / n, np.minimum(row(hidden), 20), row(near) / n, row(you) / n,
             by_byte(_UPPER) / np.maximum(by_byte(_LETTER), 1), row((uppers == lens) & (lens > 2)) / n,
             words.per_row(s.data == 0x21, s.offsets) / chars, words.per_row(s.data == 0x3F, s.offsets) / chars, by_byte(_PUNCT) / chars, words.per_row(runs, s.offsets) / chars,
             row((inside(_DIGIT) > 0) & (letters > 0)) / n, row(lens == 1) / n,
