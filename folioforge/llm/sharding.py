@@ -41,7 +41,7 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shar
     """
     names = ("bytes", "shard", "depth", "page", "shard_bytes")
     given = [c for c in docs.columns if c not in names]
-    sized = docs.select(*given, F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("bytes"), key_hash(F.col(id_col)).alias("__hash"))
+    sized = docs.select(*given, F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("bytes"), key_hash(F.col(id_col)).alias("__hash"), F.xxhash64(*given).alias("__tie"))
     total = sized.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     start = max(0, math.ceil(math.log2(max(1, total / shard_bytes))))
     deepest = min(_HASH_BITS - 1, start + splits)
@@ -62,13 +62,14 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shar
     name = F.when(F.col("depth") == 0, "all").otherwise(F.lpad(F.bin("bucket"), F.col("depth"), F.lit("0")))
     directory = cells.select("__cell", (F.col("cell_bytes") > shard_bytes).alias("__over"), "depth", name.alias("bucket"), "held")
     placed = sized.join(directory, "__cell")
-    # pages of overflow chains: documents by size, and a page ends with each half of the limit that is reached
-    chain = Window.partitionBy("__cell").orderBy("bytes", "__hash", F.xxhash64(*given)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    over = placed.where("__over").withColumn("__upto", F.sum("bytes").over(chain))
-    over = over.withColumn("page", F.greatest(F.floor((F.col("__upto") - 1) / max(1, shard_bytes // 2)), F.lit(0)).cast("long"))
-    over = over.withColumn("held", F.sum("bytes").over(Window.partitionBy("__cell", "page"))).drop("__upto")
-    rest = placed.where("not __over").withColumn("page", F.lit(0).cast("long"))
-    out = rest.unionByName(over)
+    out = placed.where("not __over").withColumn("page", F.lit(0).cast("long"))
+    if not directory.where("__over").isEmpty():
+        # pages of overflow chains: documents by size, and a page ends with each half of the limit that is reached
+        chain = Window.partitionBy("__cell").orderBy("bytes", "__hash", "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        over = placed.where("__over").withColumn("__upto", F.sum("bytes").over(chain))
+        over = over.withColumn("page", F.greatest(F.floor((F.col("__upto") - 1) / max(1, shard_bytes // 2)), F.lit(0)).cast("long"))
+        over = over.withColumn("held", F.sum("bytes").over(Window.partitionBy("__cell", "page"))).drop("__upto")
+        out = out.unionByName(over)
     shard = F.when(F.col("__over"), F.concat_ws("-", "bucket", F.col("page").cast("string"))).otherwise(F.col("bucket"))
     return out.select(*given, "bytes", shard.alias("shard"), "depth", "page", F.col("held").alias("shard_bytes"))
 
