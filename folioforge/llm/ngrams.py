@@ -2,11 +2,11 @@
 
 Candidates come from the pigeonhole principle over a partition of the universe. Two sets of a size
 band whose Jaccard similarity reaches the threshold differ in at most k tokens. Token hashes are
-split into ranges that are worth k + 1 together: a range worth 1 is indexed by the hash of its tokens,
-a range worth 2 also by those with one token left out, so that it still meets under one difference.
-If all ranges were to miss, the sets would differ in more than k tokens. How many ranges are worth 2
-is decided for each band by cost: the signatures to be written against the rows of the band that
-would meet by chance.
+split into ranges that are worth k + 1 together. A range worth 1 is indexed by the hash of its tokens. A
+range worth 2 must meet under one difference, too: it is indexed by each choice of three of its four
+quarters, or by its tokens and those with one left out. If all ranges were to miss, the sets would differ
+in more than k tokens. Which ranges a band has is decided by cost: the signatures to be written against
+the rows of the band that would meet by chance.
 
 Sets that share a signature are candidates; their connected groups are compared exactly in blocks,
 by integer arithmetic on the whole sets. So the cost of a large group of near copies is that of
@@ -42,17 +42,21 @@ _MASK_BITS = 23
 _MULTIPLIERS = np.random.default_rng(77).integers(1, 2**63, size=64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+SINGLE, QUARTERS, DELETIONS = 0, 1, 2
+
+
 @dataclass(frozen=True)
 class Scheme:
-    """Bands of sizes, the differences that each must bear, and how many ranges are worth 2.
+    """Bands of sizes, the units (each bears a difference, and one is left) that each band's ranges are worth,
+    and the kind of its ranges: SINGLE, or two units each as QUARTERS or DELETIONS.
 
     Band i has the sizes edges[i] to edges[i + 1] - 1; sets that link lie in the same band or in
     neighbours. Scheme i serves pairs of which the larger lies in band i, so that a set writes
     signatures of the scheme of its band and of the next."""
 
     edges: np.ndarray
-    differences: np.ndarray
-    doubles: np.ndarray
+    units: np.ndarray
+    kinds: np.ndarray
 
 
 @lru_cache(maxsize=8)
@@ -71,17 +75,21 @@ def scheme(percent: int, most: int, population: dict[int, int] | None = None) ->
     upper = edges[1:] - 1
     # |a xor b| <= (100 - p) / (100 + p) * (|a| + |b|)
     differences = 2 * upper * (100 - percent) // (100 + percent)
-    doubles = np.zeros(len(upper), np.int64)
+    kinds = np.zeros(len(upper), np.int64)
     for i, k in enumerate(differences):
-        per_unit = edges[i] / (k + 1)
+        u = edges[i] / (k + 1)  # tokens of a unit
         width = (edges[i + 1] - edges[i]) / max(1, edges[i])
-        rows = (population or {}).get(int(np.log2(edges[i])), 0) * min(1.0, width)
-        n2 = np.arange((k + 1) // 2 + 1)
-        singles = k + 1 - 2 * n2
-        chance = singles * np.exp(-2 * per_unit) + n2 * np.exp(-4 * per_unit) * (1 + 4 * per_unit)
-        cost = singles + n2 * (2 * per_unit + 2) + CHANCE_COST * rows * chance
-        doubles[i] = n2[cost.argmin()]
-    return Scheme(edges, differences, doubles)
+        chance = CHANCE_COST * (population or {}).get(int(np.log2(edges[i])), 0) * min(1.0, width)
+        # signatures of a unit and rows that meet it by having no token there
+        cost = [1 + chance * np.exp(-2 * u), 2 + chance * 2 * np.exp(-3 * u), u + 1 + chance * (1 + 4 * u) / 2 * np.exp(-4 * u)]
+        kinds[i] = int(np.argmin(cost))
+    return Scheme(edges, units_for(differences, kinds), kinds)
+
+
+def units_for(differences: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """One unit more than the differences, and even where ranges take two; 0 where only equal sets link."""
+    units = differences + 1
+    return np.where(differences == 0, 0, np.where(kinds == SINGLE, units, units + units % 2))
 
 
 def shingle_sets(column: pa.Array, size: int = SHINGLE_WORDS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -121,31 +129,31 @@ def signatures(grams: np.ndarray, bounds: np.ndarray, plan: Scheme) -> tuple[np.
     rows, signs = [], []
     for upper in (0, 1):
         at = np.maximum(band + upper, 0)
-        k = np.where(sizes > 0, plan.differences[at], 0)
-        units = k + 1
-        doubles = plan.doubles[at]
-        groups = np.where(k > 0, units - doubles, 0)  # k = 0: only equal sets link
-        first = np.concatenate(([0], np.cumsum(groups)))
-        unit = ((grams >> np.uint64(32)) * units[docs].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-        d = doubles[docs]
-        group = np.where(unit < 2 * d, unit // 2, unit - d)
-        real = (k > 0)[docs]
-        held = np.bincount((first[docs] + group)[real], minlength=int(first[-1]))
-        # tokens are in the order of their hashes, so a group is a run of them
-        owner = np.repeat(np.arange(len(sizes)), groups)
+        units, kinds = np.where(sizes > 0, plan.units[at], 0), plan.kinds[at]
+        groups = np.where(kinds == SINGLE, units, units // 2)
+        first = np.concatenate(([0], np.cumsum(4 * groups)))  # four quarters of each range
+        quarter = ((grams >> np.uint64(32)) * (4 * groups)[docs].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+        real = (units > 0)[docs]
+        held = np.bincount((first[docs] + quarter)[real], minlength=int(first[-1]))
+        # tokens are in the order of their hashes, so a quarter is a run of them
+        owner = np.repeat(np.arange(len(sizes)), 4 * groups)
         before = np.concatenate(([0], np.cumsum(held)))
-        skipped = np.concatenate(([0], np.cumsum(np.where(k > 0, 0, sizes))))
+        skipped = np.concatenate(([0], np.cumsum(np.where(units > 0, 0, sizes))))
         begin = before[:-1] + skipped[owner]
-        sums = total[begin + held] - total[begin]
-        number = np.arange(int(first[-1])) - first[owner]
+        parts = (total[begin + held] - total[begin]).reshape(-1, 4)
+        sums, owner = parts.sum(axis=1, dtype=np.uint64), owner[::4]
+        number = np.arange(len(owner)) - first[owner] // 4
         key = words.mix((at[owner] * (1 << 24) + number).astype(np.uint64) + _MULTIPLIERS[41])
-        rows.append(owner)
-        signs.append(words.mix(sums + key))
-        two = real & (unit < 2 * d)
-        if two.any():
-            g = (first[docs] + group)[two]
-            rows.append(docs[two])
-            signs.append(words.mix(sums[g] - salted[two] + key[g]))
+        whole = kinds[owner] != QUARTERS
+        rows.append(owner[whole])
+        signs.append(words.mix(sums[whole] + key[whole]))
+        for j in range(4):
+            rows.append(owner[~whole])
+            signs.append(words.mix(sums[~whole] - parts[~whole, j] + words.mix(key[~whole] + _MULTIPLIERS[42 + j])))
+        less = real & (kinds == DELETIONS)[docs]
+        g = (first[docs] + quarter)[less] // 4
+        rows.append(docs[less])
+        signs.append(words.mix(sums[g] - salted[less] + key[g]))
     return np.concatenate(rows), np.concatenate(signs)
 
 

@@ -223,13 +223,14 @@ def test_ngrams(docs, texts, size, percent):
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items() if i is not None} == {i: (len(s), roots[i]) for i, s in enumerate(sets)}
 
 
-@pytest.mark.parametrize("doubles", [0, 1, 3])
-def test_signatures_meet(doubles):
+@pytest.mark.parametrize("kind", [ngrams.SINGLE, ngrams.QUARTERS, ngrams.DELETIONS])
+def test_signatures_meet(kind):
     """Sets within the bound share a signature whatever the allocation."""
     rng = np.random.default_rng(8)
     for size in (12, 40, 150):
         plan = ngrams.scheme(80, 400)
-        plan = ngrams.Scheme(plan.edges, plan.differences, np.minimum(doubles, (plan.differences + 1) // 2))
+        kinds, differences = np.full(len(plan.units), kind), 2 * (plan.edges[1:] - 1) * 20 // 180
+        plan = ngrams.Scheme(plan.edges, ngrams.units_for(differences, kinds), kinds)
         for _ in range(60):
             a = set(rng.integers(1, 2**63, size).tolist())
             gone, new = rng.integers(0, size // 6 + 1, 2)
