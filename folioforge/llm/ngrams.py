@@ -56,6 +56,7 @@ class Scheme:
 
     edges: np.ndarray
     units: np.ndarray
+    spare: np.ndarray
     kinds: np.ndarray
 
 
@@ -81,15 +82,20 @@ def scheme(percent: int, most: int, population: dict[int, int] | None = None) ->
         width = (edges[i + 1] - edges[i]) / max(1, edges[i])
         chance = CHANCE_COST * (population or {}).get(int(np.log2(edges[i])), 0) * min(1.0, width)
         # signatures of a unit and rows that meet it by having no token there
-        cost = [1 + chance * np.exp(-2 * u), 2 + chance * 2 * np.exp(-3 * u), u + 1 + chance * (1 + 4 * u) / 2 * np.exp(-4 * u)]
+        cost = [1 + np.exp(-u) + 0.02 * chance * np.exp(-2 * u), 2 + chance * 2 * np.exp(-3 * u), u + 1 + chance * (1 + 4 * u) / 2 * np.exp(-4 * u)]
         kinds[i] = int(np.argmin(cost))
-    return Scheme(edges, units_for(differences, kinds), kinds)
+    return Scheme(edges, *units_for(edges, differences, kinds), kinds)
 
 
-def units_for(differences: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-    """One unit more than the differences, and even where ranges take two; 0 where only equal sets link."""
+def units_for(edges: np.ndarray, differences: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Units and spare ones of each band. One unit more than the differences is needed, and an even number
+    where ranges take two; 0 where only equal sets link. Single ranges get spare units, half as many again
+    as will have no token: a set with no more empty ranges than that need not index them, for then one
+    with tokens meets, too."""
     units = differences + 1
-    return np.where(differences == 0, 0, np.where(kinds == SINGLE, units, units + units % 2))
+    spare = np.where(kinds == SINGLE, np.ceil(1.5 * units * np.exp(-edges[:-1] / units)).astype(np.int64) + 1, 0)
+    none = differences == 0
+    return np.where(none, 0, np.where(kinds == SINGLE, units + spare, units + units % 2)), np.where(none, 0, spare)
 
 
 def shingle_sets(column: pa.Array, size: int = SHINGLE_WORDS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -144,12 +150,16 @@ def signatures(grams: np.ndarray, bounds: np.ndarray, plan: Scheme) -> tuple[np.
         sums, owner = parts.sum(axis=1, dtype=np.uint64), owner[::4]
         number = np.arange(len(owner)) - first[owner] // 4
         key = words.mix((at[owner] * (1 << 24) + number).astype(np.uint64) + _MULTIPLIERS[41])
-        whole = kinds[owner] != QUARTERS
+        bare = held.reshape(-1, 4).sum(axis=1) == 0
+        empties = np.bincount(owner[bare], minlength=len(sizes))
+        skip = bare & (kinds == SINGLE)[owner] & (empties <= plan.spare[at])[owner]
+        whole = (kinds[owner] != QUARTERS) & ~skip
         rows.append(owner[whole])
         signs.append(words.mix(sums[whole] + key[whole]))
+        split = kinds[owner] == QUARTERS
         for j in range(4):
-            rows.append(owner[~whole])
-            signs.append(words.mix(sums[~whole] - parts[~whole, j] + words.mix(key[~whole] + _MULTIPLIERS[42 + j])))
+            rows.append(owner[split])
+            signs.append(words.mix(sums[split] - parts[split, j] + words.mix(key[split] + _MULTIPLIERS[42 + j])))
         less = real & (kinds == DELETIONS)[docs]
         g = (first[docs] + quarter)[less] // 4
         rows.append(docs[less])

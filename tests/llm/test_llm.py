@@ -230,7 +230,7 @@ def test_signatures_meet(kind):
     for size in (12, 40, 150):
         plan = ngrams.scheme(80, 400)
         kinds, differences = np.full(len(plan.units), kind), 2 * (plan.edges[1:] - 1) * 20 // 180
-        plan = ngrams.Scheme(plan.edges, ngrams.units_for(differences, kinds), kinds)
+        plan = ngrams.Scheme(plan.edges, *ngrams.units_for(plan.edges, differences, kinds), kinds)
         for _ in range(60):
             a = set(rng.integers(1, 2**63, size).tolist())
             gone, new = rng.integers(0, size // 6 + 1, 2)
