@@ -8,7 +8,8 @@ quarters, or by its tokens and those with one left out. If all ranges were to mi
 in more than k tokens. Which ranges a band has is decided by cost: the signatures to be written against
 the rows of the band that would meet by chance.
 
-Sets that share a signature are candidates; their connected groups are compared exactly in blocks,
+Sets that share a signature, after each has left out its commonest as far as it has units to spare, are
+candidates; their connected groups are compared exactly in blocks,
 by integer arithmetic on the whole sets. So the cost of a large group of near copies is that of
 matrix products, and no list of its pairs is made. Equal sets are one candidate.
 """
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from folioforge.llm import words
 from folioforge.llm.blocks import compare_blocks, local_roots
 from folioforge.operators.components import connected_components
-from folioforge.plans.storage import cut
+from folioforge.plans.storage import cut, drop
 
 SHINGLE_WORDS = 3
 #: Two sets link when 100 * intersection >= PERCENT * union.
@@ -89,11 +90,11 @@ def scheme(percent: int, most: int, population: dict[int, int] | None = None) ->
 
 def units_for(edges: np.ndarray, differences: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Units and spare ones of each band. One unit more than the differences is needed, and an even number
-    where ranges take two; 0 where only equal sets link. Single ranges get spare units, half as many again
-    as will have no token: a set with no more empty ranges than that need not index them, for then one
-    with tokens meets, too."""
+    where ranges take two; 0 where only equal sets link. Single ranges get spare units, a tenth of all and
+    half as many again as will have no token: sets that link share one range more than are spare. So a set
+    with no more empty ranges than that need not index them, and of the others it can leave out as many as are left."""
     units = differences + 1
-    spare = np.where(kinds == SINGLE, np.ceil(1.5 * units * np.exp(-edges[:-1] / units)).astype(np.int64) + 1, 0)
+    spare = np.where(kinds == SINGLE, np.ceil(1.5 * units * np.exp(-edges[:-1] / units)).astype(np.int64) + 1 + units // 10, 0)
     none = differences == 0
     return np.where(none, 0, np.where(kinds == SINGLE, units + spare, units + units % 2)), np.where(none, 0, spare)
 
@@ -124,16 +125,17 @@ def shingle_sets(column: pa.Array, size: int = SHINGLE_WORDS) -> Iterator[tuple[
         yield grams[new], np.searchsorted(docs[new], np.arange(s.rows + 1))
 
 
-def signatures(grams: np.ndarray, bounds: np.ndarray, plan: Scheme) -> tuple[np.ndarray, np.ndarray]:
-    """(set number, signature), for sets given by sorted distinct hashes and bounds."""
+def signatures(grams: np.ndarray, bounds: np.ndarray, plan: Scheme) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Under the scheme of the set's band and under the next: set numbers, their signatures, and for
+    each set how many of its signatures it can do without. Sets are given by sorted distinct hashes and bounds."""
     sizes = np.diff(bounds)
     docs = np.repeat(np.arange(len(sizes)), sizes)
     band = np.searchsorted(plan.edges, sizes, "right") - 1
     salted = words.mix(grams + _MULTIPLIERS[40])
     total = np.zeros(len(grams) + 1, np.uint64)
     np.cumsum(salted, out=total[1:])
-    rows, signs = [], []
     for upper in (0, 1):
+        rows, signs = [], []
         at = np.maximum(band + upper, 0)
         units, kinds = np.where(sizes > 0, plan.units[at], 0), plan.kinds[at]
         groups = np.where(kinds == SINGLE, units, units // 2)
@@ -152,7 +154,8 @@ def signatures(grams: np.ndarray, bounds: np.ndarray, plan: Scheme) -> tuple[np.
         key = words.mix((at[owner] * (1 << 24) + number).astype(np.uint64) + _MULTIPLIERS[41])
         bare = held.reshape(-1, 4).sum(axis=1) == 0
         empties = np.bincount(owner[bare], minlength=len(sizes))
-        skip = bare & (kinds == SINGLE)[owner] & (empties <= plan.spare[at])[owner]
+        few = (kinds == SINGLE) & (empties <= plan.spare[at])
+        skip = bare & few[owner]
         whole = (kinds[owner] != QUARTERS) & ~skip
         rows.append(owner[whole])
         signs.append(words.mix(sums[whole] + key[whole]))
@@ -164,51 +167,69 @@ def signatures(grams: np.ndarray, bounds: np.ndarray, plan: Scheme) -> tuple[np.
         g = (first[docs] + quarter)[less] // 4
         rows.append(docs[less])
         signs.append(words.mix(sums[g] - salted[less] + key[g]))
-    return np.concatenate(rows), np.concatenate(signs)
+        yield np.concatenate(rows), np.concatenate(signs), np.where(few, plan.spare[at] - empties, 0)
+
+
+_SKETCH = "id long, n long, h1 long, h2 long, signs array<long>, spare int, next_signs array<long>, next_spare int"
 
 
 def _sketcher(plan: Scheme, size: int):
-    """Columns id, text: id, n (size of the set), h1, h2 (its hash), signs (signatures of which the set
-    has the least id in this batch) and near (the least ids of the others)."""
+    """Columns id, text: the columns of ``_SKETCH``, with the set's size n, its hash (h1, h2) and what
+    :func:`signatures` gives. Of equal sets of a batch only the one with the least id has signatures."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             known = np.asarray(batch.column(0).is_valid())
             ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            n, h1, h2, rows, signs, at = [], [], [], [], [], 0
+            n, h1, h2, at = [], [], [], 0
+            found = [([], [], []), ([], [], [])]
             for grams, bounds in shingle_sets(batch.column(1), size):
                 sums = lambda v: (lambda c: c[bounds[1:]] - c[bounds[:-1]])(np.concatenate((np.zeros(1, np.uint64), np.cumsum(v, dtype=np.uint64))))  # noqa: B023, E731
                 n.append(np.diff(bounds))
                 h1.append(sums(words.mix(grams + _MULTIPLIERS[50])))
                 h2.append(sums(words.mix(grams + _MULTIPLIERS[51])))
-                r, s = signatures(grams, bounds, plan)
-                rows.append(r + at)
-                signs.append(s)
+                for (rows, signs, spare), (r, s, x) in zip(found, signatures(grams, bounds, plan)):
+                    rows.append(r + at)
+                    signs.append(s)
+                    spare.append(x)
                 at += len(bounds) - 1
-            n, h1, h2, rows, signs = (np.concatenate(v or [np.zeros(0, np.int64)]) for v in (n, h1, h2, rows, signs))
+            n, h1, h2 = (np.concatenate(v or [np.zeros(0, np.int64)]) for v in (n, h1, h2))
             # of equal sets, the one with the least id stands for all
             order = np.lexsort((ids, h2, h1, n))
             lead = np.ones(len(order), bool)
             lead[1:] = (n[order][1:] != n[order][:-1]) | (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
             stands = np.zeros(len(ids), bool)
             stands[order[lead]] = True
-            keep = (stands & known)[rows]
-            rows, signs = rows[keep], signs[keep]
-            order = np.lexsort((ids[rows], signs))
-            rows, signs = rows[order], signs[order]
-            lead = np.ones(len(rows), bool)
-            lead[1:] = signs[1:] != signs[:-1]
-            least = ids[rows][np.flatnonzero(lead)][np.cumsum(lead) - 1] if len(rows) else np.zeros(0, np.int64)
-            other = ids[rows] != least
-            near = np.unique(np.column_stack([rows[other], least[other]]), axis=0)
-            own = np.flatnonzero(lead)
-            own = own[np.argsort(rows[own], kind="stable")]
-            lists = lambda r, v: pa.ListArray.from_arrays(pa.array(np.searchsorted(r, np.arange(len(ids) + 1)).astype(np.int32)), pa.array(v))  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists(rows[own], signs[own].view(np.int64)), lists(near[:, 0], near[:, 1])], ["id", "n", "h1", "h2", "signs", "near"])
+            columns = [batch.column(0), pa.array(n.astype(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))]
+            for part in found:
+                rows, signs, spare = (np.concatenate(v or [np.zeros(0, np.int64)]) for v in part)
+                keep = (stands & known)[rows]
+                rows, signs = rows[keep], signs[keep]
+                order = np.argsort(rows, kind="stable")
+                ends = np.searchsorted(rows[order], np.arange(len(ids) + 1)).astype(np.int32)
+                columns += [pa.ListArray.from_arrays(pa.array(ends), pa.array(signs[order].view(np.int64))), pa.array(spare.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _SKETCH.split(", ")])
 
     return sketch
 
 
+def candidate_edges(sets: DataFrame) -> DataFrame:
+    """``(id, low)`` from each set to the least one that shares a signature with it.
+
+    Sets that link share more signatures than either has spare. So each leaves as many as it has spare out,
+    those that most sets have first; of the signatures two linked sets share, both keep at least the
+    rarest. Passages that many documents repeat so join none, and nor does a set that shares no more than it
+    has spare. The order is one for all, by count and signature."""
+    sign = sets.select("id", F.lit(0).alias("scheme"), "spare", F.explode("signs").alias("sign"))
+    sign = sign.unionByName(sets.select("id", F.lit(1).alias("scheme"), F.col("next_spare").alias("spare"), F.explode("next_signs").alias("sign")))
+    often = cut(sign.groupBy("sign").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "ngram-often")
+    # a set's own signatures: as many as its text makes
+    rank = F.row_number().over(Window.partitionBy("id", "scheme").orderBy(F.desc("times"), "sign"))
+    kept = cut(sign.join(often, "sign").withColumn("rank", rank).where("rank > spare").select("id", "sign"), "ngram-kept")
+    low = kept.groupBy("sign").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("sign", "low")
+    return kept.join(low, "sign").where("id <> low").select("id", "low")
+
+
 def compare_sets(percent: int):
     """For :func:`compare_blocks`: rows with id and tokens (sorted distinct hashes as bytes)."""
 
@@ -275,14 +296,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # for the cost only: sizes by the length of the text, at six bytes a word
     spread = texts.select(F.floor(F.log2(F.greatest(F.octet_length("text") / 6, F.lit(1)))).cast("int").alias("bits"), F.octet_length("text").alias("bytes")).where("bytes > 0").groupBy("bits").agg(F.count(F.lit(1)).alias("n"), F.max("bytes").alias("most")).collect()
     plan = scheme(percent, max([1, *(r["most"] // 2 + 1 for r in spread)]), {r["bits"]: r["n"] for r in spread})
-    sketch = cut(texts.mapInArrow(_sketcher(plan, shingle_words), "id long, n long, h1 long, h2 long, signs array<long>, near array<long>"), "ngram-sketch")
-    sets = sketch.where("n > 0 and id is not null")
+    wide = cut(texts.mapInArrow(_sketcher(plan, shingle_words), _SKETCH), "ngram-signatures")
     alike = ["n", "h1", "h2"]
+    sketch = cut(wide.select("id", *alike), "ngram-sketch")
+    edges = candidate_edges(wide.where("n > 0 and id is not null"))
+    candidates = connected_components(edges, "id", "low")
+    drop(wide)
+    sets = sketch.where("n > 0 and id is not null")
     copies = cut(sets.groupBy(*alike).agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead <> last").drop("last"), "ngram-copies")
-    # a running minimum: the least set of a signature, without holding the others
-    along = Window.partitionBy("sign").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = sets.select("id", F.explode("signs").alias("sign")).select("id", F.min("id").over(along).alias("low")).where("id <> low")
-    candidates = connected_components(met.unionByName(sets.select("id", F.explode("near").alias("low"))), "id", "low")
     leads = sets.join(copies, alike, "left").where("lead is null or lead = id").select("id").distinct()
     members = cut(leads.join(candidates.select(F.col("node").alias("id"), F.col("root").alias("grp")), "id"), "ngram-members")
     shared = spark.sparkContext.broadcast(_bitmap(members))

@@ -225,7 +225,7 @@ def test_ngrams(docs, texts, size, percent):
 
 @pytest.mark.parametrize("kind", [ngrams.SINGLE, ngrams.QUARTERS, ngrams.DELETIONS])
 def test_signatures_meet(kind):
-    """Sets within the bound share a signature whatever the allocation."""
+    """Sets within the bound share more signatures than either has spare, whatever the allocation."""
     rng = np.random.default_rng(8)
     for size in (12, 40, 150):
         plan = ngrams.scheme(80, 400)
@@ -237,8 +237,39 @@ def test_signatures_meet(kind):
             b = set(list(a)[gone:]) | set(rng.integers(1, 2**63, new).tolist())
             if 100 * len(a & b) >= 80 * len(a | b):
                 grams = [np.array(sorted(x), np.uint64) for x in (a, b)]
-                rows, signs = ngrams.signatures(np.concatenate(grams), np.array([0, len(a), len(a) + len(b)]), plan)
-                assert a == b or set(signs[rows == 0]) & set(signs[rows == 1])
+                kept = [[], []]
+                for rows, signs, spare in ngrams.signatures(np.concatenate(grams), np.array([0, len(a), len(a) + len(b)]), plan):
+                    for i in (0, 1):
+                        kept[i].append((set(signs[rows == i].tolist()), spare[i]))
+                assert a == b or any(len(x & y) > max(u, v) for x, u in kept[0] for y, v in kept[1])
+
+
+def test_repeated_passages(spark):
+    """Passages that many texts repeat make them no candidates, and near copies among them are all found."""
+    rng = random.Random(9)
+    fresh = lambda n: ["w%d" % rng.randrange(10**6) for _ in range(n)]
+    passages = [fresh(60) for _ in range(3)]
+    given = []
+    for _ in range(400):
+        given.append(fresh(rng.randint(100, 160)) + rng.choice(passages) + fresh(rng.randint(60, 100)))
+    for i in range(120):
+        near = list(given[i])
+        for _ in range(rng.randint(1, 8)):
+            near[rng.randrange(len(near))] = fresh(1)[0]
+        given.append(near)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in given]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    roots = components(len(sets), links)
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(given)], "doc_id long, text string").repartition(4)
+    seen = []
+    plain = ngrams.connected_components
+    ngrams.connected_components = lambda *x: seen.append(plain(*x)) or seen[-1]
+    try:
+        got = by_id(ngrams.near_duplicates(table, shingle_words=5, percent=80))
+    finally:
+        ngrams.connected_components = plain
+    assert {i: r["component_id"] for i, r in got.items()} == dict(enumerate(roots)) and 30 < len(links) < 120
+    assert seen[0].groupBy("root").count().agg({"count": "max"}).first()[0] < 40
 
 
 @pytest.mark.parametrize("limit", [300, 5000, 1 << 20])
