@@ -78,12 +78,15 @@ def type_histogram(nodes: DataFrame, key: str = "entity_type") -> DataFrame:
     return nodes.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
 
 
-def box_overlaps(boxes: DataFrame, cell: int = 520, gap: int = 0) -> DataFrame:
-    """Pairs (a, b) of boxes (id, x, y, width, height) that overlap; touching is no overlap. A box is put
-    into every cell of a grid that it reaches, and pairs are met in the cell of their common corner."""
+def box_overlaps(boxes: DataFrame, cell: int = 520, gap: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs (a, b) of boxes (id, x, y, width, height) that overlap, among those that agree in ``by``; touching
+    is no overlap. A box is put into every cell of a grid that it reaches, and pairs are met in the cell of
+    their common corner."""
     reach = lambda at, size: F.sequence(F.floor(at / cell), F.floor((at + size + gap) / cell))
-    cells = boxes.select("id", "x", "y", "width", "height", F.explode(reach(F.col("x"), F.col("width"))).alias("cx")).select("*", F.explode(reach(F.col("y"), F.col("height"))).alias("cy"))
+    cells = boxes.select(*by, "id", "x", "y", "width", "height", F.explode(reach(F.col("x"), F.col("width"))).alias("cx")).select("*", F.explode(reach(F.col("y"), F.col("height"))).alias("cy"))
     a, b = cells.alias("a"), cells.alias("b")
     meets = (F.col("a.id") < F.col("b.id")) & (F.col("a.x") < F.col("b.x") + F.col("b.width") + gap) & (F.col("b.x") < F.col("a.x") + F.col("a.width") + gap) & (F.col("a.y") < F.col("b.y") + F.col("b.height") + gap) & (F.col("b.y") < F.col("a.y") + F.col("a.height") + gap)
     corner = (F.col("a.cx") == F.floor(F.greatest("a.x", "b.x") / cell)) & (F.col("a.cy") == F.floor(F.greatest("a.y", "b.y") / cell))
-    return a.join(b, (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & meets & corner).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    for column in ("cx", "cy", *by):
+        meets = meets & (F.col(f"a.{column}") == F.col(f"b.{column}"))
+    return a.join(b, meets & corner).select(*(F.col(f"a.{c}").alias(c) for c in by), F.col("a.id").alias("a"), F.col("b.id").alias("b"))

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import text as T
 from folioforge.operators.components import connected_components
-from folioforge.plans.biblio import QUERIES
-from folioforge.plans.oracles import ORACLES
+from folioforge.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
