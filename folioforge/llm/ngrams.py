@@ -173,6 +173,11 @@ def signatures(grams: np.ndarray, bounds: np.ndarray, plan: Scheme) -> Iterator[
 _SKETCH = "id long, n long, h1 long, h2 long, signs array<long>, spare int, next_signs array<long>, next_spare int"
 
 
+def _packed(rows: np.ndarray, values: np.ndarray, sets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The values in the order of their sets, and how many each set has."""
+    return values[np.argsort(rows, kind="stable")], np.bincount(rows, minlength=sets)
+
+
 def _sketcher(plan: Scheme, size: int):
     """Columns id, text: the columns of ``_SKETCH``, with the set's size n, its hash (h1, h2) and what
     :func:`signatures` gives. Of equal sets of a batch only the one with the least id has signatures."""
@@ -181,18 +186,15 @@ def _sketcher(plan: Scheme, size: int):
         for batch in batches:
             known = np.asarray(batch.column(0).is_valid())
             ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            n, h1, h2, at = [], [], [], 0
-            found = [([], [], []), ([], [], [])]
+            # slice by slice, as packed lists: the working space of a slice is many times what is kept of it
+            n, h1, h2, slices = [], [], [], []
             for grams, bounds in shingle_sets(batch.column(1), size):
                 sums = lambda v: (lambda c: c[bounds[1:]] - c[bounds[:-1]])(np.concatenate((np.zeros(1, np.uint64), np.cumsum(v, dtype=np.uint64))))  # noqa: B023, E731
                 n.append(np.diff(bounds))
                 h1.append(sums(words.mix(grams + _MULTIPLIERS[50])))
                 h2.append(sums(words.mix(grams + _MULTIPLIERS[51])))
-                for (rows, signs, spare), (r, s, x) in zip(found, signatures(grams, bounds, plan)):
-                    rows.append(r + at)
-                    signs.append(s)
-                    spare.append(x)
-                at += len(bounds) - 1
+                slices.append([(*_packed(rows, signs, len(bounds) - 1), spare.astype(np.int32)) for rows, signs, spare in signatures(grams, bounds, plan)])
+            starts = np.cumsum([0, *map(len, n)])
             n, h1, h2 = (np.concatenate(v or [np.zeros(0, np.int64)]) for v in (n, h1, h2))
             # of equal sets, the one with the least id stands for all
             order = np.lexsort((ids, h2, h1, n))
@@ -200,15 +202,15 @@ def _sketcher(plan: Scheme, size: int):
             lead[1:] = (n[order][1:] != n[order][:-1]) | (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
             stands = np.zeros(len(ids), bool)
             stands[order[lead]] = True
-            columns = [batch.column(0), pa.array(n.astype(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))]
-            for part in found:
-                rows, signs, spare = (np.concatenate(v or [np.zeros(0, np.int64)]) for v in part)
-                keep = (stands & known)[rows]
-                rows, signs = rows[keep], signs[keep]
-                order = np.argsort(rows, kind="stable")
-                ends = np.searchsorted(rows[order], np.arange(len(ids) + 1)).astype(np.int32)
-                columns += [pa.ListArray.from_arrays(pa.array(ends), pa.array(signs[order].view(np.int64))), pa.array(spare.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _SKETCH.split(", ")])
+            stands &= known
+            slices.reverse()
+            for a, b in zip(starts[:-1], starts[1:]):
+                columns = [batch.column(0).slice(a, b - a), *(pa.array(v[a:b].astype(np.int64)) for v in (n, h1.view(np.int64), h2.view(np.int64)))]
+                for signs, counts, spare in slices.pop():
+                    signs, counts = signs[np.repeat(stands[a:b], counts)], np.where(stands[a:b], counts, 0)
+                    ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+                    columns += [pa.ListArray.from_arrays(pa.array(ends), pa.array(signs.view(np.int64))), pa.array(spare)]
+                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _SKETCH.split(", ")])
 
     return sketch
 
