@@ -82,8 +82,9 @@ def scheme(percent: int, most: int, population: dict[int, int] | None = None) ->
         u = edges[i] / (k + 1)  # tokens of a unit
         width = (edges[i + 1] - edges[i]) / max(1, edges[i])
         chance = CHANCE_COST * (population or {}).get(int(np.log2(edges[i])), 0) * min(1.0, width)
-        # signatures of a unit and rows that meet it by having no token there
-        cost = [1 + np.exp(-u) + 0.02 * chance * np.exp(-2 * u), 2 + chance * 2 * np.exp(-3 * u), u + 1 + chance * (1 + 4 * u) / 2 * np.exp(-4 * u)]
+        # signatures of a unit and rows that meet it by having no token there; single ranges without tokens
+        # are indexed by sets only that have more of them than spare ones, about one in a hundred
+        cost = [1.1 + 1.5 * np.exp(-u) + 1e-4 * chance * np.exp(-2 * u), 2 + chance * 2 * np.exp(-3 * u), u + 1 + chance * (1 + 4 * u) / 2 * np.exp(-4 * u)]
         kinds[i] = int(np.argmin(cost))
     return Scheme(edges, *units_for(edges, differences, kinds), kinds)
 
@@ -222,12 +223,13 @@ def candidate_edges(sets: DataFrame) -> DataFrame:
     those that most sets have first; of the signatures two linked sets share, both keep at least the
     rarest. Passages that many documents repeat so join none, and nor does a set that shares no more than it
     has spare. The order is one for all, by count and signature."""
-    sign = sets.select("id", F.lit(0).alias("scheme"), "spare", F.explode("signs").alias("sign"))
-    sign = sign.unionByName(sets.select("id", F.lit(1).alias("scheme"), F.col("next_spare").alias("spare"), F.explode("next_signs").alias("sign")))
+    # as one number, for narrow rows: the spare ones, and the last bit for the scheme
+    sign = sets.select("id", (F.col("spare") * 2).alias("tag"), F.explode("signs").alias("sign"))
+    sign = sign.unionByName(sets.select("id", (F.col("next_spare") * 2 + 1).alias("tag"), F.explode("next_signs").alias("sign")))
     often = cut(sign.groupBy("sign").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "ngram-often")
     # a set's own signatures: as many as its text makes
-    rank = F.row_number().over(Window.partitionBy("id", "scheme").orderBy(F.desc("times"), "sign"))
-    kept = cut(sign.join(often, "sign").withColumn("rank", rank).where("rank > spare").select("id", "sign"), "ngram-kept")
+    rank = F.row_number().over(Window.partitionBy("id", "tag").orderBy(F.desc("times"), "sign"))
+    kept = cut(sign.join(often, "sign").withColumn("rank", rank).where("rank > shiftright(tag, 1)").select("id", "sign"), "ngram-kept")
     low = kept.groupBy("sign").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("sign", "low")
     return kept.join(low, "sign").where("id <> low").select("id", "low")
 
