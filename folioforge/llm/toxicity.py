@@ -195,14 +195,16 @@ def _word_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each word: the toxic and the other texts of this batch that have it."""
     for batch in batches:
         toxic = np.asarray(batch.column(1)).astype(np.int64)
-        found = [np.zeros((0, 2), np.uint64)]
-        for s in words.scans(batch.column(0)):
+        found = [np.zeros((3, 0), np.uint64)]
+        for s in words.scans(batch.column(0)):  # a text is in one slice, so the counts of slices add up
             h = words.hashes(s, words.ALNUM)
-            found.append(np.unique(np.column_stack([h, (s.docs + s.first).astype(np.uint64)]), axis=0))
-        pairs = np.concatenate(found)
-        word, at = np.unique(pairs[:, 0], return_inverse=True)
-        label = toxic[pairs[:, 1].astype(np.int64)]
-        n1, n = np.bincount(at, label, len(word)), np.bincount(at, minlength=len(word))
+            pairs = np.unique(np.column_stack([h, (s.docs + s.first).astype(np.uint64)]), axis=0)
+            word, at = np.unique(pairs[:, 0], return_inverse=True)
+            n1 = np.bincount(at, toxic[pairs[:, 1].astype(np.int64)], len(word))
+            found.append(np.stack([word, n1.astype(np.uint64), np.bincount(at, minlength=len(word)).astype(np.uint64)]))
+        found = np.concatenate(found, axis=1)
+        word, at = np.unique(found[0], return_inverse=True)
+        n1, n = (np.bincount(at, v, len(word)) for v in found[1:])
         yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n1.astype(np.int64)), pa.array((n - n1).astype(np.int64))], ["word", "toxic", "other"])
 
 
