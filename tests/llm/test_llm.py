@@ -119,6 +119,21 @@ def test_lm(docs, texts):
         assert r["score"] < 0
 
 
+def test_lm_learns_from_all_texts(docs, monkeypatch):
+    """A sample of no text changes no score: pieces, pairs, classes and weights come from all training texts."""
+    monkeypatch.setattr(lm, "VISITS", 1)
+    whole, seen = by_id(lm.score(docs)), []
+    plain = lm._commonest
+    monkeypatch.setattr(lm, "_commonest", lambda *x: seen.append(plain(*x)) or seen[-1])
+    bare = by_id(lm.score(docs, sample_bytes=1))
+    assert all(math.isclose(bare[i]["score"], r["score"], rel_tol=1e-9) for i, r in whole.items())
+    count = Counter()
+    for r in docs.where(~lm.held_out(docs["doc_id"])).collect():
+        for s in words.scans(pa.array([r["text"] or ""])):
+            count.update(lm.pieces(s)[0].tolist())
+    assert dict(zip(seen[0][0].tolist(), seen[0][1].tolist())) == count and seen[0][2] == sum(count.values())
+
+
 def test_lm_windows_and_gradients():
     bounds = np.array([0, 2, 103, 103 + 34])
     start, first, many = lm.windows(bounds)
