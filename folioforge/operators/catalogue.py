@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions import text as T
@@ -11,6 +11,7 @@ from folioforge.functions import text as T
 OPEN_SCHEMA = "id string, doi string, title string, display_name string, publication_year int, authorships array<struct<author: struct<id: string, display_name: string, orcid: string>, institutions: array<struct<id: string, display_name: string, ror: string>>, raw_author_name: string>>, primary_location struct<source: struct<display_name: string>>, referenced_works array<string>"
 _DATES = ("issued", "published-print", "published-online", "created")
 DEPOSIT_SCHEMA = "DOI string, title array<string>, author array<struct<given: string, family: string, name: string, ORCID: string, affiliation: array<struct<name: string>>>>, `container-title` array<string>, reference array<struct<DOI: string, `article-title`: string, `volume-title`: string, unstructured: string>>, " + ", ".join(f"`{d}` struct<`date-parts`: array<array<int>>>" for d in _DATES)
+MAX_REFERENCES = 5
 YEAR_FIT, YEAR_MISS, AUTHOR_SHARE = 0.05, 0.1, 0.1
 
 _NONE = "array<struct<name: string, ids: array<string>>>"
@@ -95,3 +96,22 @@ def pick_candidates(records: DataFrame, candidates: DataFrame, key: str = "recor
     score = F.col("score") + AUTHOR_SHARE * F.coalesce("share", F.lit(0.0)) + F.when(F.col("apart") == 0, YEAR_FIT).when(F.col("apart") > 1, -YEAR_MISS).otherwise(0.0)
     best = both.withColumn("score", score).where("score > 0").groupBy(key).agg(F.max_by(F.struct("ordinal", "score"), F.struct("score", -F.col("ordinal"))).alias("b"))
     return best.select(key, "b.*")
+
+
+def merge_references(records: DataFrame, catalogue: DataFrame, most: int = MAX_REFERENCES, id_col: str = "doc_id") -> DataFrame:
+    """``id_col`` and references of each of ``records`` (``id_col``, key, title, references), whose ids are distinct: its own, all of them,
+    then those of the ``catalogue`` (key, place, label) under its key, in the order of place and label, while there are fewer than ``most``.
+    References are told apart by normalised title, the first spelling holds; the record's own title and empty ones are left out."""
+    own = records.select(id_col, F.posexplode("references").alias("place", "label"))
+    labels = own.select("label").union(catalogue.select("label")).distinct().withColumn("norm", T.normalize_title(F.col("label"))).where("norm <> ''")
+    first = lambda rows, key: rows.join(labels, "label").groupBy(key, "norm").agg(F.min(F.struct("place", "label")).alias("at"))
+    listed = lambda rows, key, name: rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at.place", "at.label", "norm"))).alias(name))
+    # a record that has room holds fewer than `most`; they and its title are all that it can pass over
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("at"))
+    near = first(catalogue, "key").withColumn("rank", rank).where(F.col("rank") <= most + 1)
+    rows = records.select(id_col, "key", T.normalize_title(F.col("title")).alias("title")).join(listed(first(own, id_col), id_col, "own"), id_col, "left").join(listed(near, "key", "more"), "key", "left")
+    none = lambda place: F.array().cast(f"array<struct<place:{place},label:string,norm:string>>")
+    usable = lambda c, none: F.filter(F.coalesce(c, none), lambda x: x["norm"] != F.col("title"))
+    rows = rows.select(id_col, F.transform(usable("own", none("int")), lambda x: F.struct(x["label"].alias("label"), x["norm"].alias("norm"))).alias("own"), F.transform(usable("more", none(catalogue.schema["place"].dataType.simpleString())), lambda x: F.struct(x["label"].alias("label"), x["norm"].alias("norm"))).alias("more"))
+    fresh = F.filter("more", lambda x: ~F.exists("own", lambda o: o["norm"] == x["norm"]))
+    return rows.select(id_col, F.transform(F.concat("own", F.slice(fresh, F.lit(1), F.greatest(F.lit(most) - F.size("own"), F.lit(0)))), lambda x: x["label"]).alias("references"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.functions import text as T
-from folioforge.operators import graph, kg, retrieve
+from folioforge.operators import catalogue, graph, kg, retrieve
 from folioforge.operators.components import connected_components
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -188,8 +188,10 @@ def shared_id_components(spark, sf_dir):
 @query
 def ref_merge_cap(spark, sf_dir):
     """References of an order: its own first and all of them, then its customer's other orders' parts up to five."""
-    own = records(spark, sf_dir).select("doc_id", "authors", F.col("references"))
-    return own.select("doc_id", F.slice(F.array_distinct(F.concat("references", F.transform("authors", lambda a: F.concat(F.lit("by "), a)))), 1, 5).alias("r")).select("doc_id", F.array_join("r", "|").alias("references"), F.size("r").alias("n"))
+    own = records(spark, sf_dir).select("doc_id", "ordinal", F.col("authors")[0].alias("key"), "title", "references")
+    # an order's own parts are under its customer too: it has them already
+    works = own.select("key", "ordinal", F.posexplode("references").alias("at", "label")).select("key", F.struct("ordinal", "at").alias("place"), "label")
+    return catalogue.merge_references(own, works).select("doc_id", F.array_join("references", "|").alias("references"), F.size("references").alias("n"))
 
 
 @query
