@@ -181,7 +181,7 @@ def _packed(rows: np.ndarray, values: np.ndarray, sets: int) -> tuple[np.ndarray
 
 def _sketcher(plan: Scheme, size: int):
     """Columns id, text: the columns of ``_SKETCH``, with the set's size n, its hash (h1, h2) and what
-    :func:`signatures` gives. Of equal sets of a batch only the one with the least id has signatures."""
+    :func:`signatures` gives. Of equal sets of a batch only the one with the least id has signatures, and none without an id."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,8 +197,8 @@ def _sketcher(plan: Scheme, size: int):
                 slices.append([(*_packed(rows, signs, len(bounds) - 1), spare.astype(np.int32)) for rows, signs, spare in signatures(grams, bounds, plan)])
             starts = np.cumsum([0, *map(len, n)])
             n, h1, h2 = (np.concatenate(v or [np.zeros(0, np.int64)]) for v in (n, h1, h2))
-            # of equal sets, the one with the least id stands for all
-            order = np.lexsort((ids, h2, h1, n))
+            # of equal sets, the one with the least id stands for all; rows without an id only where there is no other
+            order = np.lexsort((ids, ~known, h2, h1, n))
             lead = np.ones(len(order), bool)
             lead[1:] = (n[order][1:] != n[order][:-1]) | (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
             stands = np.zeros(len(ids), bool)

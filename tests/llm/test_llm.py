@@ -238,6 +238,16 @@ def test_ngrams(docs, texts, size, percent):
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items() if i is not None} == {i: (len(s), roots[i]) for i, s in enumerate(sets)}
 
 
+def test_copies_without_an_id(spark):
+    """A row without an id that repeats a text takes no link from the copies that have one."""
+    text = ["w%d" % i for i in range(120)]
+    near = " ".join(text[:60] + ["changed"] + text[61:])
+    rows = [(None, " ".join(text)), (4, " ".join(text)), (7, " ".join(text)), (9, near), (12, near), (None, near)]
+    got = ngrams.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got if r["doc_id"] is not None) == [(4, 4), (7, 4), (9, 4), (12, 4)]
+    assert [r["component_id"] for r in got if r["doc_id"] is None] == [None, None]
+
+
 @pytest.mark.parametrize("kind", [ngrams.SINGLE, ngrams.QUARTERS, ngrams.DELETIONS])
 def test_signatures_meet(kind):
     """Sets within the bound share more signatures than either has spare, whatever the allocation."""
