@@ -1,15 +1,15 @@
 """Information-theoretic sanitisation of personal data.
 
 Patterns find the protected entities: e-mail and IP addresses, payment cards and telephone numbers.
-Co-occurrence over the whole corpus then tells how strongly the words around an entity reveal it.
+Co-occurrence over the whole corpus then tells how strongly the words of its documents reveal an entity.
 With document frequencies over N documents, an entity e has the information content
 IC(e) = log2(N / df(e)), and a word t gives away PMI(e; t) = log2(N df(e, t) / (df(e) df(t))) of it.
-A word near e whose PMI reaches ``generalise_at`` of IC(e) is replaced by what kind of word it is;
-one that reaches ``remove_at`` goes. Words seen with e in fewer than ``support`` documents prove
-nothing and stay.
+A word of a document of e whose PMI reaches ``generalise_at`` of IC(e) is replaced, wherever it stands in
+that document, by what kind of word it is; one that reaches ``remove_at`` goes. Words seen with e in fewer
+than ``support`` documents prove nothing and stay, and so do the words of an entity of fewer documents.
 
-Shuffles move one narrow row for each word near an entity and one partial count for each distinct
-word of an input task; texts never move.
+Shuffles move the words, as numbers, of documents with an entity of ``support`` documents, partial counts
+of their pairs with it, and one partial count for each distinct word of an input task; texts never move.
 """
 
 from __future__ import annotations
@@ -37,14 +37,14 @@ _NEEDS = {"ip": re.compile(r"[0-9]\.[0-9]"), "card": re.compile(r"[0-9][\x20-]?[
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _NOT_ALNUM = re.compile(r"[^0-9a-z\x80-\U0010ffff]+")
 
-#: Words on each side of an entity that count as near it.
-WINDOW = 5
 SUPPORT = 3
 GENERALISE_AT = 0.8
 REMOVE_AT = 0.95
 
 _SPAN = "array<struct<kind:string,start:int,end:int>>"
-_NEAR = "array<struct<entity:long,term:long,start:int,end:int>>"
+_WORDS = "array<struct<term:long,start:int,end:int>>"
+#: Words that a task holds before it hands rows on.
+_HELD = 200_000
 
 
 def luhn(digits: str) -> bool:
@@ -88,24 +88,17 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _near(text: str, spans: list[tuple[str, int, int]], window: int) -> list[tuple[int, str, int, int]]:
-    """(number of the span, term, start, end) of words near each span that touch no span."""
+def _words(text: str, spans: list[tuple[str, int, int]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Terms, starts and ends of the words of a text that touch no span."""
     found = list(_WORD.finditer(text))
-    starts = np.array([m.start() for m in found])
-    ends = np.array([m.end() for m in found])
-    taken = np.zeros(len(found), bool)
-    around = []
+    starts = np.array([m.start() for m in found], np.int32)
+    ends = np.array([m.end() for m in found], np.int32)
+    free = np.ones(len(found), bool)
     for _, a, b in spans:
-        lo, hi = int(np.searchsorted(ends, a, "right")), int(np.searchsorted(starts, b, "left"))
-        taken[lo:hi] = True
-        around.append((*range(max(0, lo - window), lo), *range(hi, min(len(found), hi + window))))
-    out = []
-    for i, near in enumerate(around):
-        for k in near:
-            term = _NOT_ALNUM.sub("", _fold(found[k].group()))
-            if term and not taken[k]:
-                out.append((i, term, found[k].start(), found[k].end()))
-    return out
+        free[np.searchsorted(ends, a, "right") : np.searchsorted(starts, b, "left")] = False
+    terms = [_NOT_ALNUM.sub("", _fold(m.group())) if f else "" for m, f in zip(found, free)]
+    free &= np.array([t != "" for t in terms], bool)
+    return [t for t in terms if t], starts[free], ends[free]
 
 
 _FOLD = {c: c + 32 for c in range(65, 91)}
@@ -119,25 +112,27 @@ def _term_hashes(terms: list[str]) -> list[int]:
     return words.hash_words(terms).view(np.int64).tolist() if terms else []
 
 
-def _finder(window: int):
+def _finder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of columns id, row, text: entities and, of texts that have any, all words beside them."""
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    near_type = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
-    schema = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("base", span), ("near", near_type), ("entities", pa.list_(pa.int64()))])
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bases, nears, entities = [], [], []
-            for text in batch.column(2):
-                text = text.as_py() or ""
-                spans = base_spans(text)
-                bases.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
-                near = _near(text, spans, window) if spans else []
-                ids = _term_hashes([f"{k}:{_fold(text[a:b])}" for k, a, b in spans] + [x[1] for x in near])
-                nears.append([{"entity": ids[x[0]], "term": ids[len(spans) + i], "start": x[2], "end": x[3]} for i, x in enumerate(near)])
-                entities.append(sorted(set(ids[: len(spans)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, schema.field(2 + i).type) for i, v in enumerate((bases, nears, entities)))], schema=schema)
-
-    return find
+    for batch in batches:
+        first, held, bases, entities, found, counts = 0, 0, [], [], [], []
+        for i, text in enumerate(batch.column(2)):
+            text = text.as_py() or ""
+            spans = base_spans(text)
+            bases.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
+            terms, starts, ends = _words(text, spans) if spans else ([], np.zeros(0, np.int32), np.zeros(0, np.int32))
+            ids = _term_hashes([f"{k}:{_fold(text[a:b])}" for k, a, b in spans] + terms)
+            entities.append(sorted(set(ids[: len(spans)])))
+            found.append((np.array(ids[len(spans) :], np.int64), starts, ends))
+            counts.append(len(terms))
+            held += len(terms)
+            if held > _HELD or i + 1 == batch.num_rows:
+                offsets = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
+                words_ = pa.StructArray.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["term", "start", "end"])
+                many = len(bases)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, many), batch.column(1).slice(first, many), pa.array(bases, span), pa.ListArray.from_arrays(offsets, words_), pa.array(entities, pa.list_(pa.int64()))], ["id", "row", "base", "words", "entities"])
+                first, held, bases, entities, found, counts = first + many, 0, [], [], [], []
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +151,7 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n.astype(np.int64))], ["term", "n"])
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, support: int = SUPPORT, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
     """One row for each row of ``docs``: its id, ``base`` (entities) and ``terms`` (revealing words),
     both arrays of (kind, start, end) in code points, in the order of kinds and starts. The kind of
     a term is ``term_generalise`` or ``term_remove``.
@@ -167,20 +162,25 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     keyed = texts.select("id", F.xxhash64("id", "text").alias("row"), "text")
-    found = cut(keyed.mapInArrow(_finder(window), f"id long, row long, base {_SPAN}, near {_NEAR}, entities array<long>"), "pii-found")
+    found = cut(keyed.mapInArrow(_finder, f"id long, row long, base {_SPAN}, words {_WORDS}, entities array<long>"), "pii-found")
     many = found.count()
-    near = found.where("size(near) > 0").select("row", F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("p")).select("row", "p.*")
-    together = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("df_both")).where(F.col("df_both") >= support)
     alone = found.where("size(entities) > 0").select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity"))
+    # no pair has more documents than its entity
+    often = cut(alone.where(F.col("df_entity") >= support), "pii-entities")
+    held = found.where("size(words) > 0").select("row", F.explode("entities").alias("entity")).distinct().join(often, "entity").groupBy("row").agg(F.collect_list("entity").alias("held"))
+    beside = cut(found.where("size(words) > 0").select("row", "words").join(held, "row"), "pii-words")
+    pairs = beside.select(F.explode("held").alias("entity"), F.array_distinct("words.term").alias("terms")).select("entity", F.explode("terms").alias("term"))
+    together = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("df_both")).where(F.col("df_both") >= support)
     terms = texts.select("text").mapInArrow(_count_terms, "term long, n long").groupBy("term").agg(F.sum("n").alias("df_term"))
-    told = together.join(alone, "entity").join(terms, "term")
+    told = together.join(often, "entity").join(terms, "term")
     n = F.lit(float(many))
     told = told.withColumn("ic", F.log2(n / F.col("df_entity"))).withColumn("pmi", F.log2(n * F.col("df_both") / (F.col("df_entity") * F.col("df_term"))))
     told = told.where((F.col("ic") > 0) & (F.col("pmi") >= generalise_at * F.col("ic")))
     told = told.select("entity", "term", F.when(F.col("pmi") >= remove_at * F.col("ic"), "term_remove").otherwise("term_generalise").alias("kind"))
-    spots = found.where("size(near) > 0").select("row", F.explode("near").alias("x")).select("row", "x.entity", "x.term", "x.start", "x.end")
+    told = cut(told, "pii-told")
+    spots = beside.select("row", F.explode("held").alias("entity"), "words").select("row", "entity", F.explode("words").alias("x")).select("row", "entity", "x.term", "x.start", "x.end")
     spans = spots.join(told, ["entity", "term"]).groupBy("row").agg(F.array_sort(F.collect_set(F.struct("kind", "start", "end"))).alias("terms"))
-    # a word near two entities may be told both ways: the stronger way holds
+    # a word beside two entities may be told both ways: the stronger way holds
     spans = spans.select("row", F.filter("terms", lambda t: (t["kind"] == "term_remove") | ~F.exists("terms", lambda o: (o["kind"] == "term_remove") & (o["start"] == t["start"]))).alias("terms"))
     none = F.array().cast(_SPAN)
     return found.join(spans, "row", "left").select(F.col("id").alias(id_col), "base", F.coalesce("terms", none).alias("terms"))

@@ -86,6 +86,16 @@ def test_pii(docs, texts, spark):
     assert "boss@" not in clean[0]["text"] and "zebra0" not in clean[0]["text"] and clean[100]["text"] == said[8][1]
 
 
+def test_pii_far_words(spark):
+    """A word that always stands far from an entity is judged, and goes wherever it stands in the entity's documents."""
+    filler = "the words of this long line are in every document there is"
+    said = [(i, f"Zoltan wrote: {filler} {i} boss@corp.example {filler} yours Zoltan") for i in range(4)] + [(100 + i, f"{filler} Zoltan wrote yours {i}" if i == 0 else f"{filler} wrote yours {i}") for i in range(40)]
+    got = by_id(pii.find_personal_data(spark.createDataFrame(said, "doc_id long, text string").repartition(3)))
+    for i, text in said:
+        want = [m.span() for m in re.finditer("Zoltan", text)] if i < 100 else []
+        assert [(s["start"], s["end"]) for s in got[i]["terms"]] == want
+
+
 def test_warc(spark):
     big, other = "é" * 600, "b" * 1000
     rows = [(1, "http://a/ b", big), (2, None, big), (3, "u", "small"), (4, "u", "small"), (5, "v", None), (6, "w", other + "\r\n\r\nWARC/1.1\r\n"), (7, "http://h", "HTTP/1.1 x\r\n\r\nbody"), (8, "w", ""), (2, None, big), (None, "n", other)]
