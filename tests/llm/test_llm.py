@@ -130,18 +130,111 @@ def test_lm(docs, texts):
 
 
 def test_lm_learns_from_all_texts(docs, monkeypatch):
-    """A sample of no text changes no score: pieces, pairs, classes and weights come from all training texts."""
+    """Pieces, pairs and what follows them are counted over all training texts, and which words tasks know changes no score."""
     monkeypatch.setattr(lm, "VISITS", 1)
-    whole, seen = by_id(lm.score(docs)), []
-    plain = lm._commonest
+    seen, plain = [], lm._commonest
     monkeypatch.setattr(lm, "_commonest", lambda *x: seen.append(plain(*x)) or seen[-1])
-    bare = by_id(lm.score(docs, sample_bytes=1))
-    assert all(math.isclose(bare[i]["score"], r["score"], rel_tol=1e-9) for i, r in whole.items())
-    count = Counter()
+    whole = by_id(lm.score(docs))
+    monkeypatch.setattr(lm, "FREQUENT", 3)
+    bare = by_id(lm.score(docs))
+    assert all(math.isclose(bare[i][c], r[c], rel_tol=1e-9) for i, r in whole.items() for c in ("score", "base_score", "n_known"))
+    pieces, words_, pairs = Counter(), Counter(), Counter()
     for r in docs.where(~lm.held_out(docs["doc_id"])).collect():
         for s in words.scans(pa.array([r["text"] or ""])):
-            count.update(lm.pieces(s)[0].tolist())
-    assert dict(zip(seen[0][0].tolist(), seen[0][1].tolist())) == count and seen[0][2] == sum(count.values())
+            ids, first = lm.pieces(s)
+            pieces.update(ids.tolist())
+            words_.update(lm.word_keys(ids, first).tolist())
+            pairs.update((int(a), int(b)) for a, b in zip(ids[:-1], ids[1:]) if not b >> 36)
+    assert dict(zip(seen[0][0].tolist(), seen[0][1].tolist())) == pieces and dict(zip(seen[1][0].tolist(), seen[1][1].tolist())) == words_
+    known = sorted(pieces)
+    assert {(known[k >> 16], known[k & 0xFFFF]): n for k, n in zip(seen[2][0].tolist(), seen[2][1].tolist())} == pairs
+
+
+def naive_scores(model, text, counts, layer=True):
+    """A text's log10 probability, place by place, in double precision and with loops."""
+    net, plan = model.attention, model.plan
+    known, class_of = {int(x): i for i, x in enumerate(plan.known)}, plan.class_of
+    pair = dict(zip(model.pairs_listed, model.pair))
+    line, logs = [plan.end], []
+    for word in [*SPACED.findall(low(text)), None]:
+        data = word.encode() if word is not None else b""
+        total, before = 0.0, None
+        for k in range(0, len(data), 4) if word is not None else [None]:
+            if k is None:
+                target, inside, at = END_CLASS(plan), 1.0, plan.end
+            else:
+                part = data[k : k + 4]
+                number = int.from_bytes(part, "little") | len(part) << 32 | (k + 4 >= len(data)) << 35 | (k == 0) << 36
+                at = known.get(number, plan.many + (number >> 35 & 1))
+                target = int(class_of[at])
+                if at >= plan.many:
+                    inside = math.exp(model.shape_log[(number >> 35 & 1) * 8 + (number >> 36) * 4 + len(part) - 1] + sum(model.byte_log[x] for x in part))
+                elif before is None or before >= plan.many:
+                    inside = model.alone[at]
+                else:
+                    inside = model.alone[at] * model.rest[before, target] + pair.get(before << 16 | at, 0.0)
+            # the window that scores this place begins STRIDE by STRIDE, and sees OVERLAP places before that
+            here = len(line) - 1
+            begin = here // lm.STRIDE * lm.STRIDE
+            weight = np.array(net.after[line[here]], float)
+            if layer:
+                seen = range(max(0, begin - lm.OVERLAP), here + 1)
+                x = {s: net.embed[line[s]].astype(float) + net.place[s - begin + lm.OVERLAP] for s in seen}
+                score = np.array([(x[here] @ net.q) @ (x[s] @ net.k) / math.sqrt(lm.WIDTH) for s in seen])
+                share = np.exp(score) / np.exp(score).sum()
+                mix = sum(w * (x[s] @ net.v) for w, s in zip(share, seen))
+                weight = weight * np.exp(np.concatenate((mix, x[here])) @ net.out)
+            total += math.log(weight[target] / weight.sum()) + math.log(inside)
+            before = at
+            line.append(at)
+        n = counts[word if word is not None else ""]
+        logs.append(math.log10((1 - lm.MIX) * math.exp(total) + lm.MIX * (n + 0.1) / model.room))
+    return sum(logs)
+
+
+def END_CLASS(plan):
+    return int(plan.class_of[plan.end])
+
+
+def test_lm_scores(docs, texts, monkeypatch):
+    """The score is that of plain loops over the fitted model, whose probabilities of a next piece add up to one at most."""
+    held, plain = [], lm.train
+    monkeypatch.setattr(lm, "train", lambda keyed: held.append(plain(keyed)) or held[-1])
+    got = by_id(lm.score(docs))
+    model = held[0][0]
+    model.pairs_listed = {int(model.pairs.at[i]): int(model.pairs.keys[i]) for i in np.flatnonzero(model.pairs.at >= 0)}
+    model.pairs_listed = [model.pairs_listed[i] for i in range(len(model.pair))]
+    counts = Counter(w for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10 for w in [*SPACED.findall(low(t)), ""])
+    counts.update([*SPACED.findall("a row without an id you idiot"), ""])
+    assert np.abs(model.attention.out).max() > 0.01  # the layer has learnt something
+    for i in (0, 1, 2, 3, 61, 62, 66, 70, 73, 86, 87, 88, 89, 91):
+        assert math.isclose(got[i]["score"], naive_scores(model, texts[i], counts), rel_tol=1e-4), texts[i]
+    line = model.plan.sequences(np.arange(model.plan.many), np.array([0, model.plan.many]))[0]
+    weight, _ = model.attention.forward(np.resize(line, (9, lm._SPAN)), np.zeros(9, np.int64))
+    assert weight.shape[1] == lm.CLASSES and (weight >= 0).all()
+    inner = np.flatnonzero(model.plan.within[: model.plan.many])[:40]
+    after = np.flatnonzero(model.plan.known >> 36 == 0)
+    for before in inner:
+        ids = np.column_stack([np.full(len(after), model.plan.known[before]), model.plan.known[after]]).ravel()
+        logs = model.piece_logs(ids, np.column_stack([np.full(len(after), before), after]).ravel())[1::2]
+        for c in np.unique(model.plan.classes[after]):
+            assert np.exp(logs[model.plan.classes[after] == c]).sum() < 1 + 1e-5
+
+
+def test_lm_lists(spark, monkeypatch):
+    """The commonest of many numbers, found digit by digit; ties at the end of the list are cut by a hash."""
+    rng = np.random.default_rng(6)
+    n = np.concatenate((rng.integers(1, 6, 3000), rng.integers(1, 10**7, 300)))
+    frame = spark.createDataFrame([(i, int(x)) for i, x in enumerate(n)], "key long, n long")
+    for most in (10, 299, 1500, 3300, 9999):
+        key, count, least = lm._commonest(frame, most)
+        assert len(set(key.tolist())) == len(key) <= most and (n[key] == count).all() and (np.diff(key) > 0).all()
+        assert set(np.flatnonzero(n > least)) <= set(key.tolist()) and (count >= least).all()
+        assert len(key) >= min(most, len(n)) * 0.9
+    assert lm._commonest(frame.limit(0), 5)[0].tolist() == []
+    keys = rng.integers(-(2**63), 2**63 - 1, 5000)
+    slots = lm.Slots(keys[:3000])
+    assert slots.find(keys).tolist() == [*range(3000), *[-1] * 2000] and lm.Slots(keys[:0]).find(keys[:2]).tolist() == [-1, -1]
 
 
 def test_lm_windows_and_gradients():
@@ -150,34 +243,37 @@ def test_lm_windows_and_gradients():
     scored = [p for s, m in zip(start, many) for p in range(s, s + min(m, lm.STRIDE))]
     assert sorted(scored) == [p for a, b in zip(bounds[:-1], bounds[1:]) for p in range(a, b - 1)]
     rng = np.random.default_rng(0)
-    net = lm.Attention(np.log(np.full((lm.CLASSES, lm.CLASSES), 1 / lm.CLASSES, np.float32)))
+    vocabulary = 90
+    net = lm.Attention(np.full((vocabulary, lm.CLASSES), 1 / lm.CLASSES, np.float32), rng.standard_normal((vocabulary, lm.WIDTH)).astype(np.float32))
     net.start()
     net.out = rng.standard_normal(net.out.shape).astype(np.float32) * 0.1
-    classes = rng.integers(0, lm.CLASSES, 137)
-    tokens, empty, spot, valid = lm.cut_windows(classes, start, first, many)
-    rows, targets = tokens[:, lm.OVERLAP :], classes[np.where(valid, spot + 1, 0)]
-
-    def loss():
-        logits, _ = net.forward(tokens, empty, rows)
-        z = logits.astype(float)
-        p = z - np.log(np.exp(z).sum(axis=2, keepdims=True))
-        return -np.take_along_axis(p, targets[:, :, None], 2)[:, :, 0][valid].mean()
-
-    grads = net.gradients(tokens, empty, rows, targets, valid)
-    for name in net.NAMES:
-        w = getattr(net, name)
-        at = tuple(np.unravel_index(np.abs(grads[name]).argmax(), w.shape))
-        old, ends = w[at], []
-        for step in (1e-2, -1e-2):
-            w[at] = old + step
-            ends.append(loss())
-        w[at] = old
-        assert math.isclose((ends[0] - ends[1]) / 2e-2, grads[name][at], rel_tol=0.05, abs_tol=1e-4), name
+    line = rng.integers(0, vocabulary, 137)
+    classes = line % lm.CLASSES
+    tokens, empty, spot, valid = lm.cut_windows(lm._padded(line, 0), start, first, many)
+    targets = classes[np.minimum(spot + 1, 136)]
+    for spots in (slice(None), slice(3, None, lm.LOSS_EVERY)):
+
+        def loss():
+            weight, _ = net.forward(tokens, empty, spots)  # noqa: B023
+            weight = weight.reshape(len(tokens), -1, lm.CLASSES).astype(float)
+            p = np.log(weight / weight.sum(axis=2, keepdims=True))
+            return -np.take_along_axis(p, targets[:, spots, None], 2)[:, :, 0][valid[:, spots]].mean()  # noqa: B023
+
+        grads = net.gradients(tokens, empty, targets, valid, spots)
+        for name in net.NAMES:
+            w = getattr(net, name)
+            at = tuple(np.unravel_index(np.abs(grads[name]).argmax(), w.shape))
+            old, ends = w[at], []
+            for step in (1e-2, -1e-2):
+                w[at] = old + step
+                ends.append(loss())
+            w[at] = old
+            assert math.isclose((ends[0] - ends[1]) / 2e-2, grads[name][at], rel_tol=0.05, abs_tol=1e-4), name
     # the future changes nothing
-    full = net.log_probability(classes, classes, np.array([0, 137]))
-    later = classes.copy()
+    full = net.log_probability(line, classes, np.array([0, 137]))
+    later = line.copy()
     later[100:] = 0
-    assert np.allclose(full[:100], net.log_probability(later, later, np.array([0, 137]))[:100], atol=1e-5)
+    assert np.allclose(full[:100], net.log_probability(later, later % lm.CLASSES, np.array([0, 137]))[:100], atol=1e-5)
 
 
 def components(n, links):
