@@ -201,7 +201,7 @@ def test_lm_scores(docs, texts, monkeypatch):
     held, plain = [], lm.train
     monkeypatch.setattr(lm, "train", lambda keyed: held.append(plain(keyed)) or held[-1])
     got = by_id(lm.score(docs))
-    model = held[0][0]
+    model = lm.fitted(*held[0][:2])
     model.pairs_listed = {int(model.pairs.at[i]): int(model.pairs.keys[i]) for i in np.flatnonzero(model.pairs.at >= 0)}
     model.pairs_listed = [model.pairs_listed[i] for i in range(len(model.pair))]
     counts = Counter(w for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10 for w in [*SPACED.findall(low(t)), ""])
