@@ -1,18 +1,28 @@
 """Connected components by repeated contraction.
 
-Each round maps every node to the least node among itself and its neighbours and rewrites both
-ends of every edge to that. Path lengths at least halve, so a component of any shape takes rounds
-in the order of the logarithm of its diameter. A round is one partial aggregation and two
-equi-joins on narrow rows; hubs are pre-aggregated by the first and split by adaptive skew
-handling in the second.
+In each round nodes are put in a random order, every node hooks onto the first among itself and its neighbours, and
+onto what that one hooks onto; then both ends of every edge are rewritten. Only nodes that others hook onto
+are left, a share of them in every round whatever the shape, chains in the order of their ids too; so rounds grow
+with the logarithm of the number of nodes. A round is one partial aggregation and equi-joins on narrow rows;
+hubs are pre-aggregated by the first and split by adaptive skew handling in the others.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from folioforge.plans.storage import cut
+from folioforge.plans.storage import cut, drop
+
+#: Rounds after which labels become a table, so that no plan joins more of them.
+_ROUNDS = 4
+
+
+def _counted(rows: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``rows`` as a table, and how many there are."""
+    seen = Observation()
+    table = cut(rows.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return table, seen.get["n"]
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -22,20 +32,32 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     node as a component of one. An empty input gives an empty result.
     """
     links = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
-    links = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    labels = None
-    while True:
-        least = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"))
-        least = least.unionByName(links.groupBy(F.col("b").alias("node")).agg(F.min("b").alias("low")))
-        least = cut(least.groupBy("node").agg(F.min("low").alias("low")), "least")
+    links, many = _counted(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    labels, hops, number = None, [], 0
+    while many or labels is None:
+        order = lambda c: F.xxhash64(c, F.lit(number))  # noqa: B023, E731
+        ends = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
+        first = ends.groupBy("node").agg(F.min_by("other", order(F.col("other"))).alias("other"))
+        hop = cut(first.select("node", F.when(order(F.col("other")) < order(F.col("node")), F.col("other")).otherwise(F.col("node")).alias("low")), "hooks")
+        far = cut(hop.join(hop.select(F.col("node").alias("low"), F.col("low").alias("root")), "low").select("node", "root"), "hops")
+        drop(hop)
+        hops.append(far)
         if labels is None:
-            labels = least.select("node", F.col("low").alias("root"))
+            labels = far
         else:
-            hop = least.select(F.col("node").alias("root"), "low")
-            labels = labels.join(hop, "root", "left").select("node", F.coalesce("low", "root").alias("root"))
-        ends = links.join(least.select(F.col("node").alias("a"), F.col("low").alias("x")), "a")
-        ends = ends.join(least.select(F.col("node").alias("b"), F.col("low").alias("y")), "b").where("x <> y")
-        links = cut(ends.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "edges")
-        labels = cut(labels, "labels")
-        if links.isEmpty():
-            return labels
+            labels = labels.join(far.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+        turned = links.join(far.select(F.col("node").alias("a"), F.col("root").alias("x")), "a").join(far.select(F.col("node").alias("b"), F.col("root").alias("y")), "b").where("x <> y")
+        before = links
+        links, many = _counted(turned.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "edges")
+        drop(before)
+        number += 1
+        if number % _ROUNDS == 0:
+            labels = cut(labels, "labels")
+            for table in hops:
+                drop(table)
+            hops = [labels]
+    least = labels.groupBy("root").agg(F.min("node").alias("least"))
+    out = cut(labels.join(least, "root").select("node", F.col("least").alias("root")), "components")
+    for table in (*hops, links):
+        drop(table)
+    return out
