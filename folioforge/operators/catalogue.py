@@ -87,7 +87,7 @@ def pick_candidates(records: DataFrame, candidates: DataFrame, key: str = "recor
     side = lambda rows, at: rows.select(key, T.normalize_title("title").alias(f"{at}_title"), F.col("year").alias(f"{at}_year"), T.family_names("authors").alias(f"{at}_family"), F.coalesce(F.size("authors") > 0, F.lit(False)).alias(f"{at}_named"), *(["ordinal"] if at == "c" else []))
     both = side(records, "r").join(side(candidates, "c"), key)
     sure = T.titles_match_natively(F.col("r_title"), F.col("c_title"), T.CANDIDATE_THRESHOLD)
-    both = both.withColumn("sure", sure).where("sure is null or sure").withColumn("score", T.title_similarity("r_title", "c_title")).where(F.col("sure") | (F.col("score") >= T.CANDIDATE_THRESHOLD))
+    both = both.withColumn("sure", sure).where("sure is null or sure").withColumn("score", T.title_similarity(F.col("r_title"), F.col("c_title"))).where(F.col("sure") | (F.col("score") >= T.CANDIDATE_THRESHOLD))
     wanted = F.size("r_family") > 0
     share = F.when(wanted & F.col("c_named"), F.size(F.array_intersect("r_family", "c_family")) / F.size("r_family"))
     both = both.withColumn("share", share).where("share is null or share > 0")

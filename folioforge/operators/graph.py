@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.operators.kg import BIBLIOGRAPHIC_EDGE, SEMANTIC_EDGE, color_of, is_bibliographic
+from folioforge.functions.text import normalize_type, split_list
+from folioforge.operators.components import connected_components
+from folioforge.operators.kg import color_of, edge_color
+from folioforge.plans.storage import cut
 
 
 def rebuild(nodes: DataFrame, edges: DataFrame, order: str = "ordinal") -> tuple[DataFrame, DataFrame]:
@@ -26,7 +29,7 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def prune(nodes: DataFrame, edges: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """The ``most`` nodes of highest degree (then by id) and the edges among them."""
-    top = degrees(nodes, edges).orderBy(F.desc("degree"), "id").limit(most)
+    top = cut(degrees(nodes, edges).orderBy(F.desc("degree"), "id").limit(most), "graph-top")
     few = F.broadcast(top.select("id"))  # ``most`` rows
     return top, edges.join(few.withColumnRenamed("id", "src"), "src", "left_semi").join(few.withColumnRenamed("id", "tgt"), "tgt", "left_semi").select(edges.columns)
 
@@ -42,36 +45,54 @@ def style_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     kinds = nodes.select("id", "entity_type")
     joined = edges.join(kinds.select(F.col("id").alias("src"), F.col("entity_type").alias("src_type")), "src").join(kinds.select(F.col("id").alias("tgt"), F.col("entity_type").alias("tgt_type")), "tgt")
     a, b = F.least("src", "tgt"), F.greatest("src", "tgt")
-    first = F.get(F.split(F.coalesce("description", F.lit("")), "<SEP>"), F.lit(0))
+    first = F.coalesce(F.get(split_list(F.col("description")), F.lit(0)), F.lit(""))
     a_leads, b_leads = leads(first, a), leads(first, b)
-    paper = lambda end: F.when(F.col("src") == end, F.lower("src_type") == "paper").otherwise(F.lower("tgt_type") == "paper")
+    paper = lambda end: normalize_type(F.when(F.col("src") == end, F.col("src_type")).otherwise(F.col("tgt_type"))) == "paper"
     start = F.when(a_leads & ~b_leads, a).when(b_leads & ~a_leads, b).when(paper(a) & ~paper(b), a).when(paper(b) & ~paper(a), b).otherwise(a)
-    color = F.when(is_bibliographic(F.col("src_type")) | is_bibliographic(F.col("tgt_type")), BIBLIOGRAPHIC_EDGE).otherwise(SEMANTIC_EDGE)
-    label = F.left(F.array_join(F.filter(F.transform(F.split(F.coalesce("keywords", F.lit("")), "<SEP>"), F.trim), lambda x: x != ""), ", "), F.lit(60))
-    return joined.select(start.alias("from_node"), F.when(start == a, b).otherwise(a).alias("to_node"), color.alias("color"), F.nullif(label, F.lit("")).alias("label"))
+    label = F.left(F.array_join(split_list(F.col("keywords")), ", "), F.lit(60))
+    return joined.select(start.alias("from_node"), F.when(start == a, b).otherwise(a).alias("to_node"), edge_color(F.col("src_type"), F.col("tgt_type")).alias("color"), F.nullif(label, F.lit("")).alias("label"))
 
 
 def node_text(nodes: DataFrame) -> DataFrame:
-    """Nodes with text, width and height as a card shows them."""
-    description = F.when(F.length("description") > 350, F.concat(F.rtrim(F.substr("description", F.lit(1), F.lit(349))), F.lit("…"))).otherwise(F.col("description"))
-    source = F.filter(F.transform(F.split(F.coalesce("file_path", F.lit("")), "<SEP>"), F.trim), lambda x: (x != "") & (x != "unknown_source"))
-    text = F.concat_ws("\n\n", F.concat(F.lit("# "), F.col("id")), F.concat(F.lit("**Type:** "), F.nullif("entity_type", F.lit(""))), F.nullif(description, F.lit("")), F.concat(F.lit("*Source: "), F.get(source, F.lit(0)), F.lit("*")))
+    """Nodes with text, width, height and color as a card shows them."""
+    told = F.array_join(split_list(F.col("description")), " ")
+    told = F.when(F.length(told) > 350, F.concat(F.rtrim(F.substr(told, F.lit(1), F.lit(349))), F.lit("…"))).otherwise(told)
+    source = F.filter(split_list(F.col("file_path")), lambda x: x != "unknown_source")
+    kind = F.coalesce(F.nullif(normalize_type(F.col("entity_type")), F.lit("")), F.lit("unknown"))
+    text = F.concat_ws("\n\n", F.concat(F.lit("# "), F.col("id")), F.concat(F.lit("**Type:** "), kind), F.nullif(told, F.lit("")), F.concat(F.lit("_Source: "), F.get(source, F.lit(0)), F.lit("_")))
     lines = F.aggregate(F.split(F.col("text"), "\n"), F.lit(0).cast("long"), lambda n, x: n + F.greatest(F.lit(1).cast("long"), F.ceil(F.length(x) / 44).cast("long")))
     return nodes.withColumn("text", text).withColumn("width", F.lit(400)).withColumn("height", F.greatest(F.lit(160), F.least(F.lit(520), 60 + 24 * lines)).cast("int")).withColumn("color", color_of(F.col("entity_type")))
 
 
-def merge_nodes(nodes: DataFrame, edges: DataFrame, plans: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The graph after each ``source`` of ``plans`` became its ``target``; plans of which an end is missing
-    or both are one have no effect. Edges are turned over to targets; loops go, parallel edges are one."""
+def resolve_plans(nodes: DataFrame, plans: DataFrame) -> DataFrame:
+    """(source, target) of merges, where the target is where a chain of plans ends. Plans of which an end is missing
+    or both are one have no effect; of plans of one source that with the least target holds; a ring ends in its least id."""
     ids = nodes.select("id")
     live = plans.where("source <> target").join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
-    live = live.groupBy("source").agg(F.min("target").alias("target"))
-    kept = nodes.join(live.select(F.col("source").alias("id")), "id", "left_anti")
+    live = cut(live.groupBy("source").agg(F.min("target").alias("target")), "merge-plans")
+    groups = connected_components(live, "source", "target")
+    ends = groups.join(live.select(F.col("source").alias("node")), "node", "left_anti").groupBy("root").agg(F.min("node").alias("end"))
+    return groups.join(ends, "root", "left").select(F.col("node").alias("source"), F.coalesce("end", "root").alias("target")).where("source <> target")
+
+
+def merge_nodes(nodes: DataFrame, edges: DataFrame, plans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The graph after each ``source`` of ``plans`` became its ``target`` (see :func:`resolve_plans`). A target keeps its own
+    type; what else nodes say in text is listed, its own first. Edges are turned over to targets; loops go,
+    parallel edges are one."""
+    live = cut(resolve_plans(nodes, plans), "merge-live")
+    moved = nodes.join(live.select(F.col("source").alias("id"), F.col("target").alias("__to")), "id", "left").withColumn("__to", F.coalesce("__to", "id"))
+    held = live.select(F.col("target").alias("__to")).distinct()
+    text = [f.name for f in nodes.schema if f.dataType.simpleString() == "string" and f.name not in ("id", "entity_type")]
+    listed = lambda c: F.array_join(F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct((F.col("id") != F.col("__to")).alias("late"), F.col("id"), F.col(c).alias("v")))), lambda x: split_list(x["v"])))), "<SEP>")
+    own = lambda c: F.max(F.when(F.col("id") == F.col("__to"), F.col(c)))
+    told = [(F.nullif(listed(c), F.lit("")) if c in text else own(c)).alias(c) for c in nodes.columns if c != "id"]
+    folded = moved.join(held, "__to", "left_semi").groupBy("__to").agg(*told).withColumnRenamed("__to", "id")
+    rest = moved.join(held, "__to", "left_anti")
     for end in ("src", "tgt"):
         edges = edges.join(live.select(F.col("source").alias(end), F.col("target").alias("__to")), end, "left").withColumn(end, F.coalesce("__to", end)).drop("__to")
     pair = [F.least("src", "tgt").alias("src"), F.greatest("src", "tgt").alias("tgt")]
     joined = [F.array_join(F.array_sort(F.collect_set(c)), "<SEP>").alias(c) for c in edges.columns if c not in ("src", "tgt", "weight")]
-    return kept, edges.where("src <> tgt").groupBy(*pair).agg(*joined, F.sum("weight").alias("weight"))
+    return rest.select(nodes.columns).unionByName(folded.select(nodes.columns)), edges.where("src <> tgt").groupBy(*pair).agg(*joined, F.sum("weight").alias("weight"))
 
 
 def type_histogram(nodes: DataFrame, key: str = "entity_type") -> DataFrame:

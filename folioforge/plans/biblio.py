@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions import text as T
@@ -26,44 +26,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A record for each order; see kg.RECORD."""
+    """A record for each order; see kg.RECORD. The customer's market is a second affiliation of the paper, and in nations of
+    even number the author's own institution is told."""
     t = lambda name: table(spark, sf_dir, name)
     places = t("nation").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey"))  # 25 rows
-    people = t("customer").join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_name", "n_name", "r_name")
+    people = t("customer").join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_name", "c_mktsegment", "n_nationkey", "n_name", "r_name")
     cited = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(t("part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
     cited = cited.groupBy("l_orderkey").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "p_name"))), lambda x: F.concat(F.lit("part:"), x["p_name"]))).alias("references"))
     rows = t("orders").select("o_orderkey", "o_custkey", "o_orderdate").join(people, F.col("o_custkey") == F.col("c_custkey")).join(cited, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    strings, ids = "array<string>", "map<string,array<string>>"
+    said = lambda head, c: F.concat(F.lit(head), F.col(c).cast("string"))
+    author, house = said("customer:", "c_name"), said("nation:", "n_name")
     return rows.select(
-        F.concat(F.lit("doc-"), F.col("o_orderkey").cast("string")).alias("doc_id"),
+        said("doc-", "o_orderkey").alias("doc_id"),
         F.col("o_orderkey").alias("ordinal"),
-        F.concat(F.lit("order-"), F.col("o_orderkey").cast("string"), F.lit(".txt")).alias("file_path"),
-        F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("title"),
-        F.array(F.concat(F.lit("customer:"), "c_name")).alias("authors"),
+        F.concat(said("order-", "o_orderkey"), F.lit(".txt")).alias("file_path"),
+        said("order:", "o_orderkey").alias("title"),
+        F.array(author).alias("authors"),
         F.year("o_orderdate").alias("year"),
-        F.concat(F.lit("region:"), "r_name").alias("venue"),
-        F.lit(None).cast("string").alias("doi"),
-        F.array(F.concat(F.lit("nation:"), "n_name")).alias("affiliations"),
-        F.coalesce("references", F.array().cast(strings)).alias("references"),
-        F.lit(None).cast("array<struct<author:string,institutions:array<string>>>").alias("author_affiliations"),
-        F.lit(None).cast(ids).alias("author_ids"),
-        F.lit(None).cast(ids).alias("institution_ids"),
+        said("region:", "r_name").alias("venue"),
+        said("10.1000/o", "o_orderkey").alias("doi"),
+        F.array(house, said("market:", "c_mktsegment")).alias("affiliations"),
+        F.coalesce("references", F.array().cast("array<string>")).alias("references"),
+        F.when(F.col("n_nationkey") % 2 == 0, F.array(F.struct(author.alias("author"), F.array(house).alias("institutions")))).alias("author_affiliations"),
+        F.create_map(author, F.array(said("orcid:c", "c_custkey"))).alias("author_ids"),
+        F.create_map(house, F.array(said("ror:n", "n_nationkey"))).alias("institution_ids"),
+        F.lit(None).cast("map<string,string>").alias("reference_dois"),
+        F.lit(None).cast("string").alias("catalogue_id"),
+        F.lit(None).cast("string").alias("metadata_source"),
     )
 
 
+def emitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kg.prepared(records(spark, sf_dir))
+
+
 def graph_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    nodes, edges = kg.upsert(records(spark, sf_dir))
-    return nodes.withColumnRenamed("entity_name", "id"), edges.withColumnsRenamed({"src_id": "src", "tgt_id": "tgt"})
+    """Nodes and edges without what is said of them."""
+    rows = emitted(spark, sf_dir)
+    return kg.nodes(rows), kg.edges(rows)
 
 
 @query
 def kg_entities(spark, sf_dir):
-    return kg.upsert(records(spark, sf_dir))[0].select("entity_name", "entity_type", "description", "doc_id")
+    return kg.upsert(emitted(spark, sf_dir))[0].select(F.col("id").alias("entity_name"), "entity_type", "description", "doc_id")
 
 
 @query
 def kg_relations(spark, sf_dir):
-    return kg.record_rows(records(spark, sf_dir))[1].select("doc_id", "src_id", "tgt_id", "keywords", "description", "weight")
+    return kg.record_rows(kg.emissions(records(spark, sf_dir)))[1].select("doc_id", "src_id", "tgt_id", "keywords", "description", "weight")
 
 
 @query
@@ -84,20 +94,20 @@ def kg_induced_edges(spark, sf_dir):
 
 @query
 def kg_edge_style(spark, sf_dir):
-    return graph.style_edges(*graph_of(spark, sf_dir))
+    rows = emitted(spark, sf_dir)
+    return graph.style_edges(kg.nodes(rows), kg.upsert(rows)[1])
 
 
 @query
 def kg_new_entities(spark, sf_dir):
-    all_ = records(spark, sf_dir)
-    old, new = all_.where("ordinal % 2 = 0"), all_.where("ordinal % 2 = 1")
-    existing = kg.upsert(old)[0]
-    return kg.new_entities(kg.record_rows(new)[0], existing).select("doc_id", "entity_name", "entity_type")
+    rows = emitted(spark, sf_dir)
+    existing = kg.nodes(rows.where("ordinal % 2 = 0")).select(F.col("id").alias("entity_name"))
+    return kg.new_entities(kg.record_rows(rows.where("ordinal % 2 = 1"))[0], existing).select("doc_id", "entity_name", "entity_type")
 
 
 @query
 def kg_node_text_size(spark, sf_dir):
-    return graph.node_text(graph_of(spark, sf_dir)[0]).select("id", "text", "width", "height", "color")
+    return graph.node_text(kg.upsert(emitted(spark, sf_dir))[0]).select("id", "text", "width", "height", "color")
 
 
 @query
@@ -107,15 +117,15 @@ def kg_header_text(spark, sf_dir):
 
 @query
 def type_histogram(spark, sf_dir):
-    return graph.type_histogram(graph_of(spark, sf_dir)[0])
+    return graph.type_histogram(kg.nodes(emitted(spark, sf_dir)))
 
 
 @query
 def kg_merge(spark, sf_dir):
-    """Every customer becomes the first customer of their nation."""
+    """Every customer becomes the customer before them in their nation, and so by a chain its first."""
     nodes, edges = graph_of(spark, sf_dir)
-    people = table(spark, sf_dir, "customer").select(F.concat(F.lit("customer:"), "c_name").alias("source"), "c_nationkey")
-    plans = people.join(people.groupBy("c_nationkey").agg(F.min("source").alias("target")), "c_nationkey")
+    people = nodes.where("entity_type = 'author'").select(F.col("id").alias("source")).join(table(spark, sf_dir, "customer").select(F.concat(F.lit("customer:"), "c_name").alias("source"), "c_nationkey"), "source")
+    plans = people.select("source", F.lag("source").over(Window.partitionBy("c_nationkey").orderBy("source")).alias("target")).where("target is not null")
     kept = graph.merge_nodes(nodes.select("id", "entity_type"), edges.select("src", "tgt", "keywords", "weight"), plans)[1]
     return kept.select("src", "tgt", "keywords", "weight")
 
@@ -187,7 +197,7 @@ def shared_id_components(spark, sf_dir):
 
 @query
 def ref_merge_cap(spark, sf_dir):
-    """References of an order: its own first and all of them, then its customer's other orders' parts up to five."""
+    """References of an order: its own, all of them, then its customer's other orders' parts while there are fewer than five."""
     own = records(spark, sf_dir).select("doc_id", "ordinal", F.col("authors")[0].alias("key"), "title", "references")
     # an order's own parts are under its customer too: it has them already
     works = own.select("key", "ordinal", F.posexplode("references").alias("at", "label")).select("key", F.struct("ordinal", "at").alias("place"), "label")

@@ -4,31 +4,34 @@ ORACLES: dict[str, str] = {}
 
 _RECORDS = """
 people as (
-  select c_custkey, 'customer:' || c_name as author, 'nation:' || n_name as org, 'region:' || r_name as venue
+  select c_custkey, 'customer:' || c_name as author, 'nation:' || n_name as org, 'market:' || c_mktsegment as market, 'region:' || r_name as venue, n_nationkey as n
   from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey
 ), papers as (
-  select o_orderkey as k, 'doc-' || o_orderkey as doc_id, 'order:' || o_orderkey as paper, year(o_orderdate) as y, author, org, venue
+  select o_orderkey as k, 'doc-' || o_orderkey as doc_id, 'order:' || o_orderkey as paper, year(o_orderdate) as y, author, org, market, venue, c_custkey, n
   from orders join people on o_custkey = c_custkey
 ), refs as (
   select l_orderkey as k, 'part:' || p_name as ref, min(l_linenumber) as pos from lineitem join part on l_partkey = p_partkey group by all
 ), ents as (
-  select k, doc_id, paper as entity_name, 'Paper' as entity_type, 'Academic paper titled ''' || paper || ''', published in ' || venue || ' (' || y || ').' as description, 1 as phase, 0 as pos from papers
-  union all select k, doc_id, author, 'Author', 'Author of ''' || paper || '''.', 2, 0 from papers
-  union all select k, doc_id, venue, 'Venue', 'Publication venue of ''' || paper || '''.', 3, 0 from papers
-  union all select k, doc_id, y::varchar, 'Year', 'Publication year of ''' || paper || '''.', 4, 0 from papers
-  union all select k, doc_id, ref, 'CitedWork', 'Work cited by ''' || paper || '''.', 5, pos from papers join refs using (k)
-  union all select k, doc_id, org, 'Organization', 'Institution affiliated with ''' || paper || '''.', 7, 0 from papers
+  select k, doc_id, paper as entity_name, 'paper' as entity_type, 'Academic paper titled ''' || paper || ''', published in ' || venue || ' (' || y || ').' as description, 1 as phase, 0 as pos from papers
+  union all select k, doc_id, author, 'author', 'Author of ''' || paper || '''. Identifiers: orcid:c' || c_custkey || '.', 2, 0 from papers
+  union all select k, doc_id, venue, 'venue', 'Publication venue of ''' || paper || '''.', 3, 0 from papers
+  union all select k, doc_id, y::varchar, 'year', 'Publication year of ''' || paper || '''.', 4, 0 from papers
+  union all select k, doc_id, ref, 'citedwork', 'Work cited by ''' || paper || '''.', 5, pos from papers join refs using (k)
+  union all select k, doc_id, org, 'organization', 'Institution affiliated with ''' || paper || '''. Identifiers: ror:n' || n || '.', 7, 0 from papers
+  union all select k, doc_id, market, 'organization', 'Institution affiliated with ''' || paper || '''.', 7, 1 from papers
 ), rels as (
   select k, doc_id, paper as src_id, author as tgt_id, 'authored_by' as keywords, '''' || paper || ''' was authored by ' || author || '.' as description, 2 as phase from papers
   union all select k, doc_id, paper, venue, 'published_in', '''' || paper || ''' was published in ' || venue || '.', 3 from papers
   union all select k, doc_id, paper, y::varchar, 'published_year', '''' || paper || ''' was published in ' || y || '.', 4 from papers
   union all select k, doc_id, paper, ref, 'cites', '''' || paper || ''' cites ''' || ref || '''.', 5 from papers join refs using (k)
-  union all select k, doc_id, author, org, 'affiliated_with', author || ' is listed with affiliation ' || org || ' on ''' || paper || '''.', 7 from papers
+  union all select k, doc_id, author, org, 'affiliated_with', author || ' is affiliated with ' || org || ' on ''' || paper || '''.', 6 from papers where n % 2 = 0
+  union all select k, doc_id, paper, market, 'affiliated_with', '''' || paper || ''' lists the affiliation ' || market || '.', 7 from papers where n % 2 = 0
+  union all select k, doc_id, author, unnest([org, market]), 'affiliated_with', author || ' is listed with affiliation ' || unnest([org, market]) || ' on ''' || paper || '''.', 7 from papers where n % 2 = 1
 ), nodes as (
   select * exclude r from (select *, row_number() over (partition by entity_name order by k desc, phase, pos) as r from ents) where r = 1
 ), edges as (
   select * exclude r from (select *, row_number() over (partition by least(src_id, tgt_id), greatest(src_id, tgt_id) order by k desc, phase) as r from rels) where r = 1
-), degrees as (
+), degrees as materialized (
   select entity_name as id, entity_type, count(e) as degree from nodes left join (select unnest([src_id, tgt_id]) as e from edges) on e = entity_name group by all
 )
 """
@@ -43,35 +46,31 @@ _graph("kg_entities", "select entity_name, entity_type, description, doc_id from
 _graph("kg_relations", "select doc_id, src_id, tgt_id, keywords, description, 1.0::double as weight from rels")
 _graph("kg_degree", "select id, entity_type, degree from degrees")
 _graph("kg_prune_topk", f"select id as name, entity_type, degree, {_COLOR.format('entity_type')} as color from degrees order by degree desc, id limit 40")
-_graph("kg_induced_edges", ", top as (select id from degrees order by degree desc, id limit 200) select least(src_id, tgt_id) as a, greatest(src_id, tgt_id) as b, keywords from edges where src_id in (from top) and tgt_id in (from top)")
-_graph("kg_edge_style", """
-select case when src_leads or not tgt_leads and phase <> 7 then src_id else tgt_id end as from_node,
-  case when src_leads or not tgt_leads and phase <> 7 then tgt_id else src_id end as to_node, '4' as color, keywords as label
-from (select *, (starts_with(description, '''' || src_id || '''') or starts_with(description, src_id || ' ')) as src_leads,
-  (starts_with(description, '''' || tgt_id || '''') or starts_with(description, tgt_id || ' ')) as tgt_leads from edges)
-""")
+_graph("kg_induced_edges", ", top as materialized (select id from degrees order by degree desc, id limit 200) select least(src_id, tgt_id) as a, greatest(src_id, tgt_id) as b, keywords from edges where src_id in (from top) and tgt_id in (from top)")
+_graph("kg_edge_style", "select src_id as from_node, tgt_id as to_node, '4' as color, keywords as label from edges")
 _graph("kg_new_entities", """
 , old as (select distinct entity_name from ents where k % 2 = 0)
-select distinct doc_id, entity_name, entity_type from ents where k % 2 = 1 and (entity_type = 'Paper' or entity_name not in (from old))
+select distinct doc_id, entity_name, entity_type from ents where k % 2 = 1 and (entity_type = 'paper' or entity_name not in (from old))
 """)
 _graph("kg_node_text_size", f"""
 , texts as (
   select entity_name as id, entity_type, '# ' || entity_name || chr(10) || chr(10) || '**Type:** ' || entity_type || chr(10) || chr(10)
     || case when length(description) > 350 then rtrim(substr(description, 1, 349)) || '…' else description end
-    || chr(10) || chr(10) || '*Source: order-' || k || '.txt*' as text from nodes
+    || chr(10) || chr(10) || '_Source: order-' || k || '.txt_' as text from nodes
 )
 select id, text, 400 as width,
   greatest(160, least(520, 60 + 24 * list_sum(list_transform(string_split(text, chr(10)), lambda x: greatest(1, ceil(length(x) / 44.0)::int)))))::int as height,
   {_COLOR.format('entity_type')} as color from texts
 """)
 _graph("kg_header_text", """
-select doc_id, concat_ws(chr(10), 'Title: ' || paper, 'Authors: ' || author, 'Year: ' || y, 'Venue: ' || venue, 'Affiliations: ' || org,
+select doc_id, concat_ws(chr(10), 'Title: ' || paper, 'Authors: ' || author, 'Venue: ' || venue, 'Year: ' || y, 'DOI: 10.1000/o' || k, 'Affiliations: ' || org || ', ' || market,
   'References: ' || (select string_agg(ref, '; ' order by pos, ref) from refs where refs.k = papers.k)) as content, 0 as chunk_order_index from papers
 """)
 _graph("type_histogram", "select entity_type, count(*) as n from nodes group by all")
 _graph("kg_merge", """
 , plans as (
   select 'customer:' || c_name as source, min('customer:' || c_name) over (partition by c_nationkey) as target from customer
+  where 'customer:' || c_name in (select entity_name from nodes)
 ), live as (
   select source, target from plans where source <> target and source in (select entity_name from nodes) and target in (select entity_name from nodes)
 ), turned as (
@@ -81,10 +80,28 @@ _graph("kg_merge", """
 select least(s, t) as src, greatest(s, t) as tgt, string_agg(distinct keywords, '<SEP>' order by keywords) as keywords, count(*)::double as weight
 from turned where s <> t group by 1, 2
 """)
+# titles are told apart by their letters and digits in lower case; part names are unlike orders' titles
 _graph("ref_merge_cap", """
-, listed as (select k, list(ref order by pos, ref) as l from refs group by k)
-select doc_id, array_to_string(r, '|') as "references", len(r)::int as n
-from (select doc_id, list_append(coalesce(l, []), 'by ' || author)[1:5] as r from papers left join listed using (k))
+, cited as materialized (
+  select k, ref, trim(regexp_replace(lower(ref), '[^0-9a-z]+', ' ', 'g')) as norm, pos from refs
+), own as (
+  select k, norm, arg_min(ref, struct_pack(pos := pos, ref := ref)) as ref, min(pos) as pos from cited group by all
+), kept as (
+  select k, list(ref order by pos, ref) as l, list(norm) as norms, count(*) as n from own group by k
+), offered as (
+  select p.author, c.ref, c.norm, row_number() over (partition by p.author order by p.k, c.pos, c.ref) as place from papers p join cited c using (k)
+), firsts as (
+  select author, norm, arg_min(ref, place) as ref, min(place) as place from offered group by all
+), more as (
+  select p.k, f.ref, row_number() over (partition by p.k order by f.place) as r
+  from papers p join firsts f using (author) left join kept on kept.k = p.k
+  where coalesce(kept.n, 0) < 5 and not list_contains(coalesce(norms, []), f.norm)
+), added as (
+  select more.k, list(ref order by r) as l from more left join kept using (k) where r <= 5 - coalesce(n, 0) group by all
+), filled as (
+  select doc_id, coalesce(kept.l, []) || coalesce(added.l, []) as r from papers left join kept using (k) left join added using (k)
+)
+select doc_id, array_to_string(r, '|') as "references", len(r)::int as n from filled
 """)
 
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
