@@ -5,19 +5,23 @@ are one interval of keys: ``example.com`` is ``com.example.`` and covers [``com.
 ``com.example/``), "/" being the byte after ".". Intervals of rules are nested or apart. They cut
 the line of keys into segments, each with the stack of rules active there.
 
-URLs are dealt to sweeps of equal size without regard to their host, so a host that holds a third
+Distinct URLs are dealt to sweeps of equal size without regard to their host, so a host that holds a third
 of all rows is spread over all. Each sweep sorts its URLs and the segments' borders together, and
 one pass carries the last border's stack to each URL; of the stack, the longest rule whose path
-starts the URL's path wins. Only DataFrame functions are used.
+starts the URL's path wins. Every sweep has all borders, so there are only as many sweeps as keep the
+copies of borders below the number of URLs. Rows look their URL's verdict up by a join, which adaptive execution splits
+where many rows have one URL. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from folioforge.plans.storage import cut
+
 RULE_SCHEMA = "host string, path string, verdict string"
-#: URLs of a sweep at most, about; there are four sweeps for each shuffle partition at least.
+#: URLs of a sweep at most, about; there are four sweeps for each shuffle partition, where rules are few enough.
 SWEEP_ROWS = 200_000
 _AZ, _az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -66,14 +70,20 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     gets the default. A null URL, or one without ``://``, has an empty host and path. Columns of
     ``pages`` that bear a result's name are replaced; repeated rows are each judged.
     """
-    n = pages.count()
+    seen = Observation()
+    urls = cut(pages.select(F.coalesce(F.col(f"`{url_col}`"), F.lit("")).alias("url")).distinct().observe(seen, F.count(F.lit(1)).alias("n")), "urls")
+    cuts = cut(_borders(rules), "url-borders")
+    n, many = seen.get["n"], cuts.count()
     sweeps = max(4 * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // sweep_rows))
-    given = [F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    urls = pages.select(F.struct(*given).alias("row"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    urls = urls.select("*", host_key(F.col("host")).alias("key"), F.lit(1).alias("kind"), F.pmod(F.xxhash64("row"), F.lit(sweeps).cast("long")).alias("sweep"))
-    borders = _borders(rules).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sweeps - 1).cast("long"))).alias("sweep"), "key", "stack", F.lit(0).alias("kind"))
-    both = urls.unionByName(borders, allowMissingColumns=True)
+    sweeps = max(1, min(sweeps, n // max(1, many)), -(-n // (100 * sweep_rows)))
+    keyed = urls.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    keyed = keyed.select("*", host_key(F.col("host")).alias("key"), F.lit(1).alias("kind"), F.pmod(F.xxhash64("url"), F.lit(sweeps).cast("long")).alias("sweep"))
+    borders = cuts.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sweeps - 1).cast("long"))).alias("sweep"), "key", "stack", F.lit(0).alias("kind"))
+    both = keyed.unionByName(borders, allowMissingColumns=True)
     along = Window.partitionBy("sweep").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = both.select("row", "host", "path", "kind", F.last("stack", ignorenulls=True).over(along).alias("stack")).where("kind = 1")
+    swept = both.select("url", "host", "path", "kind", F.last("stack", ignorenulls=True).over(along).alias("stack")).where("kind = 1")
     best = F.array_max(F.filter("stack", lambda r: F.startswith(F.col("path"), r["path"])))
-    return swept.select("row.*", "host", "path", best.alias("best")).select("*", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")).drop("best")
+    judged = swept.select("url", F.struct("host", "path", best.alias("best")).alias("told"))
+    given = [F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    rows = pages.select(F.struct(*given).alias("row"), F.coalesce(F.col(f"`{url_col}`"), F.lit("")).alias("url")).join(judged, "url")
+    return rows.select("row.*", "told.host", "told.path", F.col("told.best.rule").alias("rule"), F.coalesce("told.best.verdict", F.lit(default)).alias("verdict"))
