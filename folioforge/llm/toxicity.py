@@ -13,7 +13,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,6 +83,7 @@ def features(column: pa.Array, lexicon: np.ndarray, learnt: np.ndarray) -> np.nd
         marks = _PUNCT[s.data]
         runs = np.zeros(len(marks), bool)
         runs[1:] = marks[1:] & marks[:-1]
+        runs[s.offsets[:-1][s.offsets[:-1] < len(runs)]] = False  # not across texts
         out.append(np.column_stack([
             row(toxic) / n, np.minimum(row(toxic), 20), np.log1p(s.counts), row(base) / n, np.minimum(row(base), 20), row(own) / n, np.minimum(row(own), 20), row(hidden) / n, np.minimum(row(hidden), 20), row(near) / n, row(you) / n,
             by_byte(_UPPER) / np.maximum(by_byte(_LETTER), 1), row((uppers == lens) & (lens > 2)) / n,
@@ -124,11 +124,11 @@ class Trees:
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pool-adjacent-violators: the rising step function nearest to ``y``, at the ends of its steps."""
-    order = np.argsort(x, kind="stable")
+    at, index = np.unique(x, return_inverse=True)  # equal ones are one
     blocks: list[list[float]] = []  # sum, weight, least x, greatest x
-    for a, b in zip(x[order], y[order]):
-        blocks.append([b, 1.0, a, a])
-        while len(blocks) > 1 and (blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1] or blocks[-2][3] == blocks[-1][2]):
+    for v, total, many in zip(at, np.bincount(index, y, len(at)), np.bincount(index, minlength=len(at))):
+        blocks.append([total, many, v, v])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             s, w, _, hi = blocks.pop()
             blocks[-1][0] += s
             blocks[-1][1] += w
@@ -210,15 +210,18 @@ def _word_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model of the labelled rows of ``docs`` that are not held out. Of labels that repeat an id the
-    greatest holds; null ids and labels are left out."""
+    greatest holds; null ids and labels are left out, and so are null and empty texts' words, for there are none. Other columns
+    are not read."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id is not null and toxic is not null").where(~held_out(F.col("id")))
     known = known.groupBy("id").agg(F.max("toxic").alias("toxic"))
     many = known.count()
-    part = min(1.0, sample_rows / max(1, many))
-    sample = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(int(part * 1_000_000)))
+    # by a share of all hashes, which is never rounded to none
+    sample = known.where(F.abs(F.xxhash64("id").cast("double")) <= min(1.0, sample_rows / max(1, many)) * 2.0**63)
+    sample = sample.withColumn("calibrate", F.pmod(F.xxhash64(F.lit("calibrate"), "id"), F.lit(4)) == 0)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = cut(texts.join(F.broadcast(sample), "id"), "toxicity-sample")  # about sample_rows narrow rows
-    counts = texts.select("text", "toxic").mapInArrow(_word_labels, "word long, toxic long, other long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    # what calibrates has no part in the lexicon, nor in the trees
+    counts = texts.where("not calibrate").select("text", "toxic").mapInArrow(_word_labels, "word long, toxic long, other long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     sizes = texts.groupBy().agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("n1")).first()
     lexicon = np.unique(words.hash_words(INSULTS))
     if not sizes["n1"] or sizes["n1"] == sizes["n"]:
@@ -231,13 +234,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = features(batch.column(1), lexicon, learnt)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c) for c in x.T)], ["id", "toxic", *FEATURES])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *(pa.array(c) for c in x.T)], ["id", "toxic", "calibrate", *FEATURES])
 
     fields = ", ".join(f"{f} double" for f in FEATURES)
-    rows = texts.select("id", "text", "toxic").mapInArrow(measure, f"id {texts.schema['id'].dataType.simpleString()}, toxic int, {fields}").toPandas()  # the bounded sample
+    rows = texts.select("id", "text", "toxic", "calibrate").mapInArrow(measure, f"id {texts.schema['id'].dataType.simpleString()}, toxic int, calibrate boolean, {fields}").toPandas()  # the bounded sample
     rows = rows.sort_values(list(rows.columns)).reset_index(drop=True)
-    calibrate = pd.util.hash_array(rows["id"].to_numpy().astype(str).astype(object)) % np.uint64(4) == 0
-    return Model(lexicon, learnt, fit(rows[list(FEATURES)].to_numpy(), rows["toxic"].to_numpy(), calibrate))
+    return Model(lexicon, learnt, fit(rows[list(FEATURES)].to_numpy(), rows["toxic"].to_numpy(), rows["calibrate"].to_numpy().astype(bool)))
 
 
 def _scored(docs: DataFrame, shared, text_at: int, schema: str, keep_below: float | None) -> DataFrame:
@@ -263,5 +265,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, with all their columns."""
+    """The rows of ``docs`` that score below ``threshold``, with all their columns. A null text scores as an empty one,
+    a null id is of no account, repeated rows are all kept or all gone."""
     return _scored(docs, docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col), docs.schema, threshold)
