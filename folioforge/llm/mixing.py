@@ -24,9 +24,9 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST_TIMES = 2
 SEED = 20240501
-#: Hash slices in which the documents of a length are ranked.
-SLICES = 512
-#: The gap, in words, that the dynamic program closes at most.
+#: Rows of a hash slice, about, in which the documents of a length are ranked; and the least number of slices.
+SLICE_ROWS, SLICES = 1 << 17, 512
+#: Words that the dynamic program looks at, at most: what no length above leaves open it closes as far as lengths allow.
 GAP = 1 << 16
 
 
@@ -87,38 +87,41 @@ def _fit_below(lengths: np.ndarray, counts: np.ndarray, goal: int, gap: int) ->
             more = min(int(most[i] - took[i]), left // int(size[i]))
             took[i] += more
             left -= more * int(size[i])
-    # give some back, so that the program has something to choose from
+    # give some of each length back, so that the program has something to choose from
     for i in range(len(size) - 1, -1, -1):
-        back = min(int(took[i]), max(0, (limit - left)) // max(1, int(size[i])), 64)
+        back = min(int(took[i]), -(-(limit - left) // (int(size[i]) * (i + 1)))) if left < limit else 0
+        back = min(back, (limit - left) // int(size[i]))
         took[i] -= back
         left += back * int(size[i])
-    # bounded knapsack: bit b of a state says that b words can be made of the parts so far
-    mask, states, parts = (1 << (left + 1)) - 1, [1], []
+    # bounded knapsack: bit b of the state says that b words can be made of the parts so far; ``by`` which part made it first
+    mask, state, parts, by = (1 << (left + 1)) - 1, 1, [], np.full(left + 1, -1, np.int32)
     for i in range(len(size)):
         spare, lot = int(most[i] - took[i]), 1
-        while spare > 0 and not states[-1] >> left & 1 and size[i] <= left and len(parts) < 4000:
+        while spare > 0 and not state >> left & 1 and size[i] <= left:
             lot = min(lot, spare)
             if lot * int(size[i]) > left:
                 lot = left // int(size[i])
                 spare = lot
-            state = (states[-1] | states[-1] << lot * int(size[i])) & mask
-            if state != states[-1]:
+            new = (state << lot * int(size[i])) & mask & ~state
+            if new:
+                bits = np.unpackbits(np.frombuffer(new.to_bytes(left // 8 + 1, "little"), np.uint8), bitorder="little")
+                by[np.flatnonzero(bits)] = len(parts)
                 parts.append((i, lot))
-                states.append(state)
+                state |= new
             spare -= lot
             lot *= 2
-    made = states[-1].bit_length() - 1
-    for (i, lot), before in zip(reversed(parts), reversed(states[:-1])):
-        if not before >> made & 1:
-            took[i] += lot
-            made -= lot * int(size[i])
+    made = state.bit_length() - 1
+    while made:  # what was left before a part made it, earlier parts had made
+        i, lot = parts[by[made]]
+        took[i] += lot
+        made -= lot * int(size[i])
     out = np.zeros(len(lengths), np.int64)
     out[order] = took
     return out
 
 
 def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Columns src, size, n, target: of each length, ``rounds`` for every document and ``extra``
+    """Columns src, size, n, target of one source: of each length, ``rounds`` for every document and ``extra``
     documents once more."""
     target, sizes, counts = float(pdf["target"].iloc[0]), pdf["size"].to_numpy(), pdf["n"].to_numpy()
     total = int((sizes * counts).sum())
@@ -129,8 +132,39 @@ def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
     src = F.struct(F.col(source_col).isNull().alias("none"), F.coalesce(F.col(source_col), F.lit("")).alias("name"))
-    hashed = F.xxhash64(F.col(id_col), F.lit(seed))
-    return docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col), F.to_json(src).alias("src"), src.alias("key"), word_count(F.col(text_col)).alias("size"), hashed.alias("slice_hash"), F.pmod(hashed, F.lit(SLICES)).cast("int").alias("slice"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.select(F.struct(*columns).alias("row"), F.col(id_col), src.alias("src"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("slice_hash"), F.xxhash64(*columns).alias("tie"))
+
+
+def _numbered(sources: DataFrame) -> DataFrame:
+    """With ``place``, the number of each row in the order of ``src``: rows are numbered in ranges, and ranges by their counts."""
+    ranged = cut(sources.repartitionByRange("src").withColumn("range", F.spark_partition_id()), "mix-ranges")
+    counts = sorted(ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n")).collect())  # one row for each partition
+    starts = dict(zip((r["range"] for r in counts), np.cumsum([0, *(r["n"] for r in counts)]).tolist()))
+    first = F.create_map(*(F.lit(int(x)) for pair in starts.items() for x in pair))[F.col("range")] if starts else F.lit(0)
+    return ranged.withColumn("place", first + F.row_number().over(Window.partitionBy("range").orderBy("src")) - 1).drop("range")
+
+
+def _with_targets(sources: DataFrame, weights: tuple[float, ...], share: float, most_times: float) -> DataFrame:
+    """``sources`` (src, words) with source_size and target as :func:`fill_targets` gives it, worked out by sums over all sources."""
+    weight = F.get(F.array(*(F.lit(float(w)) for w in weights)), (F.col("place") % len(weights)).cast("int"))
+    rows = cut(_numbered(sources).withColumn("weight", weight), "mix-sources")
+    left = share * float(rows.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0])
+    rows = rows.withColumn("full_at", F.lit(None).cast("int"))
+    number = 0
+    while True:
+        free = F.col("full_at").isNull()
+        total = rows.where(free).agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]
+        each = F.lit(left) * F.col("weight") / F.lit(total) if total else F.lit(0.0)
+        full = free & (each > most_times * F.col("words"))
+        gone = rows.where(full).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")).first()
+        if not gone["n"]:
+            break
+        rows = cut(rows.withColumn("full_at", F.when(full, number).otherwise(F.col("full_at"))), "mix-sources")
+        left -= float(most_times * gone["words"])
+        number += 1
+    target = F.when(free, each).otherwise((most_times * F.col("words")).cast("double"))
+    return rows.select("src", F.col("words").alias("source_size"), target.alias("target"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most_times: int = MOST_TIMES, seed: int = SEED, carry: bool = False) -> DataFrame:
@@ -143,22 +177,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     own. Extra columns are not read, unless ``carry`` asks for the whole row as a struct ``row``. An
     empty table gives an empty result.
     """
-    sized = _sized(docs, id_col, text_col, source_col, seed)
-    sized = cut(sized.select(id_col, "src", "key", "size", "slice_hash", "slice"), "mix-sizes")
-    counted = cut(sized.groupBy("src", "key", "size", "slice").agg(F.count(F.lit(1)).alias("n")), "mix-counts")
-    # one row for each source
-    sources = sorted(counted.groupBy("src", "key").agg(F.sum(F.col("size") * F.col("n")).alias("words")).collect(), key=lambda r: (r["key"]["none"], r["key"]["name"].encode()))
-    words = [r["words"] for r in sources]
-    targets = fill_targets(words, [weights[i % len(weights)] for i in range(len(sources))], share * sum(words), most_times)
-    goal = docs.sparkSession.createDataFrame([(r["src"], int(w), float(t)) for r, w, t in zip(sources, words, targets)], "src string, source_size long, target double")
+    sized = _sized(docs, id_col, text_col, source_col, seed).drop("row", "tie")
+    sized = cut(sized, "mix-sizes")
+    slices = max(SLICES, -(-sized.count() // SLICE_ROWS))
+    slice_ = F.pmod("slice_hash", F.lit(slices)).cast("int").alias("slice")
+    counted = cut(sized.groupBy("src", "size", slice_).agg(F.count(F.lit(1)).alias("n")), "mix-counts")
+    sources = counted.groupBy("src").agg(F.sum(F.col("size") * F.col("n")).alias("words"))
+    goal = cut(_with_targets(sources, weights, share, most_times), "mix-goals")  # one row for each source
     lengths = counted.where("size > 0").groupBy("src", "size").agg(F.sum("n").alias("n"))
-    plan = lengths.join(goal, "src").groupBy("src").applyInPandas(_plan, "src string, size long, rounds long, extra long")
+    plan = lengths.join(goal, "src").select(F.to_json("src").alias("name"), "src", "size", "n", "target")
+    plan = plan.groupBy("name").applyInPandas(_plan, "src struct<none:boolean,name:string>, size long, rounds long, extra long")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("src", "size").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    slices = counted.select("src", "size", "slice", before.alias("before")).join(plan, ["src", "size"], "left")
-    rank = F.row_number().over(Window.partitionBy("src", "size", "slice").orderBy("slice_hash", id_col))
+    parts = counted.select("src", "size", "slice", before.alias("before")).join(plan, ["src", "size"], "left").join(goal, "src")
+    tie = []
     if carry:  # whole rows are ranked: texts move once
-        sized = _sized(docs, id_col, text_col, source_col, seed)
-    ranked = sized.select(id_col, *(["row"] if carry else []), "src", "size", "slice", rank.alias("rank")).join(slices, ["src", "size", "slice"], "left")
+        sized, tie = _sized(docs, id_col, text_col, source_col, seed), ["tie"]
+    rank = F.row_number().over(Window.partitionBy("src", "size", "slice").orderBy("slice_hash", id_col, *tie))
+    sized = sized.withColumn("slice", slice_)
+    ranked = sized.select(id_col, *(["row"] if carry else []), "src", "size", "slice", rank.alias("rank")).join(parts, ["src", "size", "slice"], "left")
     times = F.coalesce(F.col("rounds") + F.when(F.col("before") + F.col("rank") <= F.col("extra"), 1).otherwise(0), F.lit(0))
-    out = ranked.join(F.broadcast(goal), "src")  # one row for each source
-    return out.select(id_col, *(["row"] if carry else []), "size", "source_size", "target", (F.col("size") * F.least(times, F.lit(most_times))).cast("long").alias("taken"))
+    return ranked.select(id_col, *(["row"] if carry else []), "size", "source_size", "target", (F.col("size") * F.least(times, F.lit(most_times))).cast("long").alias("taken"))
