@@ -9,8 +9,8 @@ Each record is its header line, as many bytes as the line declares, and a line f
 reads the header by its version, takes the declared bytes, and makes the WARC record that says the
 same: a UUID from address, date and content, the date in ISO form, a type, and SHA-1 digests.
 
-Archives are written and read by Spark's own writers and readers, so they can live in any store
-Spark knows and a lost task leaves nothing half written.
+ARC files are read, and archives written and read, by Spark's own readers and writers, so they can live in any store
+Spark knows and a lost task leaves nothing half written. Files are cut by their bytes.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ FIELDS = {
 }
 #: Payloads of fewer bytes are never revisits.
 REVISIT_BYTES = 1000
-#: Rows of one archive file at most: files stay small enough to be read by one task.
-ROWS_PER_FILE = 5000
+#: Bytes of records in one archive file, about: files stay small enough to be read whole by one task. A longer record has a file of its own.
+FILE_BYTES = 32 << 20
 _CAPTURED = "20240101000000"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _BREAK = b"\r\n"
@@ -155,24 +155,42 @@ def _http(payload: bytes) -> bytes:
     return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
 
 
+def _records(found: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+    """Rows (record, part): the number of the file that a record goes to among those of its task."""
+    out, size, part, held = [], 0, 0, 0
+    rows = lambda: pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.binary()), pa.array([p for _, p in out], pa.int32())], ["record", "part"])
+    for record in found:
+        if size and size + len(record) > FILE_BYTES:
+            size, part = 0, part + 1
+        size += len(record)
+        held += len(record)
+        out.append((record, part))
+        if held > FILE_BYTES // 4:
+            yield rows()
+            out, held = [], 0
+    if out:
+        yield rows()
+
+
 def _convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Columns id, url, html, keeper, keeper's url: through an ARC record of either version to a WARC record."""
-    for batch in batches:
-        out = []
-        for key, url, html, keeper, top_url in zip(*(batch.column(i) for i in range(5))):
-            key, url, keeper = key.as_py(), url.as_py(), keeper.as_py()
-            payload = html.as_buffer().to_pybytes() if html.is_valid else b""
-            version = 1 + zlib.crc32(str(key).encode()) % 2
-            content = _http(payload)
-            record = next(parse_arc(arc_record(version, url or f"urn:page:{key}", content), version))
-            extra = {} if key is None else {"X-Source-Key": str(key)}
-            refers = None
-            if keeper is not None:
-                extra["X-Refers-To-Key"] = str(keeper)
-                kept = record | {"url": _address(top_url.as_py() or f"urn:page:{keeper}")}
-                refers = (record_id(kept), iso_date(kept["date"]))
-            out.append(warc_record(record, refers, extra))
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+    return _records(record for batch in batches for record in _pages(batch))
+
+
+def _pages(batch: pa.RecordBatch) -> Iterator[bytes]:
+    for key, url, html, keeper, top_url in zip(*(batch.column(i) for i in range(5))):
+        key, url, keeper = key.as_py(), url.as_py(), keeper.as_py()
+        payload = html.as_buffer().to_pybytes() if html.is_valid else b""
+        version = 1 + zlib.crc32(str(key).encode()) % 2
+        content = _http(payload)
+        record = next(parse_arc(arc_record(version, url or f"urn:page:{key}", content), version))
+        extra = {} if key is None else {"X-Source-Key": str(key)}
+        refers = None
+        if keeper is not None:
+            extra["X-Refers-To-Key"] = str(keeper)
+            kept = record | {"url": _address(top_url.as_py() or f"urn:page:{keeper}")}
+            refers = (record_id(kept), iso_date(kept["date"]))
+        yield warc_record(record, refers, extra)
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", revisit_bytes: int = REVISIT_BYTES) -> None:
@@ -188,12 +206,63 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     rows = rows.withColumn("digest", F.when(F.col("size") >= revisit_bytes, F.sha2(F.col("html"), 256)))
     keepers = rows.where("digest is not null").groupBy("digest").agg(F.max("id").alias("top"), F.max_by("url", "id").alias("top_url"), F.count(F.lit(1)).alias("n")).where("n > 1 and top is not null").drop("n")
     keepers = cut(keepers, "warc-keepers")
-    # payloads held by a third of all rows are split by adaptive skew handling: nothing above this join asks for its keys
-    rows = rows.join(keepers, "digest", "left")
-    rows = rows.select("id", "url", "html", F.when(~F.col("id").eqNullSafe(F.col("top")), F.col("top")).alias("keeper"), "top_url")
-    records = rows.mapInArrow(_convert, "record binary").select(F.col("record").cast("string").alias("value"))
+    # payloads held by a third of all rows are split by adaptive skew handling: nothing above this join asks for its keys;
+    # rows that are too small for a digest do not go through it
+    again = rows.where("digest is not null").join(keepers, "digest", "left")
+    again = again.select("id", "url", "html", F.when(~F.col("id").eqNullSafe(F.col("top")), F.col("top")).alias("keeper"), "top_url")
+    small = rows.where("digest is null").select("id", "url", "html", F.lit(None).cast("long").alias("keeper"), F.lit(None).cast("string").alias("top_url"))
+    _write(again.unionByName(small).mapInArrow(_convert, "record binary, part int"), path)
+
+
+def _write(records: DataFrame, path: str) -> None:
     # the writer puts the bytes of a record and then the line breaks that end it
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", ROWS_PER_FILE).text(path)
+    rows = records.select("part", F.col("record").cast("string").alias("value"))
+    rows.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").partitionBy("part").text(path)
+
+
+def _open_arc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Column content, of whole ARC files, compressed or not: a row for each record."""
+    schema = pa.schema([("version", pa.int32()), ("url", pa.string()), ("ip", pa.string()), ("date", pa.string()), ("content_type", pa.string()), ("status", pa.string()), ("length", pa.int64()), ("content", pa.binary())])
+    for batch in batches:
+        for content in batch.column(0):
+            data, rows, size = content.as_buffer().to_pybytes(), [], 0
+            for record in parse_arc(_plain(data) if data[:2] == b"\x1f\x8b" else data):
+                rows.append(record)
+                size += record["length"]
+                if size > FILE_BYTES // 4:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema)
+
+
+def _plain(data: bytes) -> bytes:
+    """What one or more gzip members hold."""
+    out = []
+    while data:
+        one = zlib.decompressobj(47)
+        out += [one.decompress(data), one.flush()]
+        data = one.unused_data
+    return b"".join(out)
+
+
+_ARC_ROW = "version int, url string, ip string, date string, content_type string, status string, length long, content binary"
+
+
+def read_arc(spark, path: str, pattern: str = "*.arc*") -> DataFrame:
+    """Rows of the ARC files below ``path``, compressed (as a whole or by record) or not: version, url, ip, date, content_type, status (null in
+    version 1), length and content. A header line that does not fit its version, or declares more than there is, stops the read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("content")
+    return files.mapInArrow(_open_arc, _ARC_ROW)
+
+
+def convert_archives(spark, source: str, path: str, pattern: str = "*.arc*") -> None:
+    """WARC files below ``path`` with a response for each record of the ARC files below ``source``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _records(warc_record(record) for batch in batches for record in batch.to_pylist())
+
+    _write(read_arc(spark, source, pattern).mapInArrow(run, "record binary, part int"), path)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,19 +270,21 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column(0):
             rows = []
-            for fields, block in parse_warc(zlib.decompress(content.as_buffer(), 47)):
+            size = 0
+            for fields, block in parse_warc(_plain(content.as_buffer().to_pybytes())):
                 head, payload = split_http(block)
                 digest = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
                 revisit = fields["warc-type"] == "revisit"
                 declared = re.search(rb"(?i)\r\ncontent-length: *(\d+)", head)
-                size = int(declared[1]) if revisit and declared else len(payload)
+                length = int(declared[1]) if revisit and declared else len(payload)
                 if not revisit and hashlib.sha1(payload).hexdigest() != digest:
                     raise ValueError(f"payload of {fields['warc-record-id']} does not have its digest")
                 key, to = fields.get("x-source-key"), fields.get("x-refers-to-key")
-                rows.append((key and int(key), size, digest, fields["warc-type"], to and int(to), fields["warc-target-uri"], fields["warc-record-id"], None if revisit else payload))
-                if len(rows) == 256:
+                rows.append((key and int(key), length, digest, fields["warc-type"], to and int(to), fields["warc-target-uri"], fields["warc-record-id"], None if revisit else payload))
+                size += len(block)
+                if size > FILE_BYTES // 4 or len(rows) == 4096:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-                    rows = []
+                    rows, size = [], 0
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
@@ -221,7 +292,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archives(spark, path: str) -> DataFrame:
     """Rows of the archives below ``path``: id, payload_bytes, payload_digest, record_type, refers_to,
     url, record_id, payload (null for a revisit). A digest that does not hold stops the read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path).select("content")
     return files.mapInArrow(_read, "id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, record_id string, payload binary")
 
 
