@@ -505,3 +505,208 @@ def test_empty_tables(spark, docs):
     bench = spark.createDataFrame([], "item_id long, text string")
     for frame in (pii.find_personal_data(none), lm.score(none), ngrams.near_duplicates(none), sharding.assign(none), mixing.mix(none), decontaminate.find(none, bench), decontaminate.find(docs, bench).where("n_hit > 0")):
         assert frame.count() == 0
+
+
+def test_decontamination_is_linear_in_items(spark):
+    """Many items with one line, and many documents with it: each document lists each item once, and nothing is multiplied."""
+    line = " ".join("w%d" % i for i in range(14))
+    items = [(i, f"{line} tail{i} own{i}") for i in range(300)]
+    rows = [(i, f"before {line} after{i}") for i in range(400)] + [(1000, "clean words only")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, text string")
+    got = by_id(decontaminate.find(docs, bench))
+    assert all(r["n_hit"] == (14 if i < 1000 else 0) and len(r["items"]) == (300 if i < 1000 else 0) for i, r in got.items())
+    assert sum(len(r["matches"]) for r in got.values()) <= 300 * 5
+
+
+def test_longest_matches():
+    """Of each suffix of an item, the longest verbatim match over all documents of the shard."""
+    rng = random.Random(4)
+    prose = lambda n: [rng.choice("abcdefgh") for _ in range(n)]
+    items = [prose(rng.randint(3, 60)) for _ in range(8)]
+    docs = [prose(20) + items[i % 8][rng.randint(0, 3) : rng.randint(12, 40)] + prose(9) + ["zz"] + items[i % 5][: rng.randint(2, 30)] for i in range(30)]
+    bench = decontaminate.Benchmark([str(i) for i in range(8)], [" ".join(x) for x in items])
+    (first, counts, starts, number, places), = decontaminate.shards(bench, pa.array([" ".join(x) for x in docs]))
+    order, hit, lo, hi = decontaminate.find_windows(bench, number, places)
+    stop = np.append(np.flatnonzero(number == 0), len(number))
+    whole = [number[p : stop[np.searchsorted(stop, p)]].tolist() for p in places[order]]
+    assert whole == sorted(whole) and counts.tolist() == [len(x) for x in docs]
+    suffix, place, length = decontaminate.longest_matches(bench, number, places, hit)
+    assert len(suffix) > 20
+    agree = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    for s, p, n in zip(suffix, place, length):
+        item = bench.item_of[s]
+        tail = items[item][bench.suffix[s] - bench.starts[item] :]
+        assert n == max(agree(tail, d[k:]) for d in docs for k in range(len(d)))
+        row = int(np.searchsorted(starts, p, "right")) - 1
+        assert agree(tail, docs[row][p - starts[row] :]) == n
+
+
+def test_long_digits():
+    """Long runs of digits and of dots take time in proportion."""
+    for text in ("1" * 300_000 + " 1.1", "1." * 100_000, "+" + "1" * 300_000, "a" * 100_000 + "@" + "b" * 100_000):
+        assert pii.base_spans(text) == base(text[:40] + text[-40:])[:0] or len(pii.base_spans(text)) > 0
+    assert pii.base_spans("9" * 500 + ".1.2.3 1.2.3.4.5.6.7.8 0001.2.3.255x") == base("9" * 500 + ".1.2.3 1.2.3.4.5.6.7.8 0001.2.3.255x")
+
+
+def test_clashing_columns(spark):
+    """Columns of any name come through what keeps whole rows."""
+    names = ["doc_id", "text", "source", "base", "terms", "__base", "row", "best", "copy", "__hash", "h1", "h2", "parent", "cell", "tie", "src", "slice", "key", "url", "told", "taken", "page_id"]
+    rows = [(i, f"write to boss@corp.example {i}", f"s{i % 2}", *(f"c{k}" for k in range(len(names) - 3))) for i in range(6)]
+    docs = spark.createDataFrame(rows, names)
+    clean = pii.sanitise(docs)
+    assert clean.columns == names and {r["base"] for r in clean.collect()} == {"c0"}
+    sharded = sharding.assign(docs, shard_bytes=60)
+    assert sharded.columns[: len(names)] == names and sorted(tuple(r)[: len(names)] for r in sharded.collect()) == rows
+    rules = spark.createDataFrame([("com", "/", "block")], urls.RULE_SCHEMA)
+    judged = urls.judge(docs, rules)
+    assert judged.columns == [*names, "host", "path", "rule", "verdict"] and sorted(tuple(r)[: len(names)] for r in judged.collect()) == rows
+    mixed = mixing.mix(docs, carry=True).select("row.*")
+    assert mixed.columns == names and mixed.count() == 6
+
+
+def test_hot_keys(spark):
+    """A third of all rows of one key, equal or not, and rows without a key."""
+    rows = [(7, "same text here", "s")] * 300 + [(8, f"text {i % 90} of a hot id", "s") for i in range(300)] + [(None, f"no id {i}", None) for i in range(200)] + [(None, None, None)] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    for limit in (100, 1000):
+        got = sharding.assign(docs, shard_bytes=limit).collect()
+        held, many = Counter(), Counter()
+        for r in got:
+            held[r["shard"]] += r["bytes"]
+            many[r["shard"]] += 1
+        assert len(got) == len(rows) and all(r["shard_bytes"] == held[r["shard"]] for r in got)
+        assert all(n <= limit or many[s] == 1 for s, n in held.items())
+        assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((i, t) for i, t, _ in rows)
+    # distinct ids part by their own bits, however deep
+    many_ids = spark.createDataFrame([(i, "x" * 600) for i in range(400)], "doc_id long, text string")
+    assert all(r["page"] == 0 for r in sharding.assign(many_ids, shard_bytes=1000).collect())
+    pages = spark.createDataFrame([(i, "http://a.com/en/1" if i % 3 else None) for i in range(600)], "page_id long, url string")
+    rules = spark.createDataFrame([("com", "/en/", "block")], urls.RULE_SCHEMA)
+    assert Counter(r["verdict"] for r in urls.judge(pages, rules).collect()) == {"block": 400, "allow": 200}
+    taken = mixing.mix(docs).collect()
+    assert len(taken) == len(rows) and all(r["taken"] <= 2 * r["size"] for r in taken)
+    for target, total in {(r["target"], r["source_size"]) for r in taken}:
+        assert abs(sum(r["taken"] for r in taken if r["target"] == target) - target) <= 5, total
+
+
+def test_sharding_writes(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "x" * 100) for i in range(50)], "doc_id long, text string")
+    sharding.write(sharding.assign(docs, shard_bytes=1000), f"{tmp_path}/shards")
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    assert back.count() == 50 and back.groupBy("shard").sum("bytes").agg({"sum(bytes)": "max"}).first()[0] <= 1000
+
+
+def test_mixing_many_sources(spark):
+    """Targets of many sources, worked out by sums, are those of plain water filling."""
+    rng = random.Random(3)
+    rows = [(i, " ".join("w" * rng.randint(1, 1 + i % 40)), f"host{i % 57:02d}" if i % 11 else None) for i in range(700)]
+    rows = [(i, "w " * rng.randint(1, 1 + (i * i) % 60), s) for i, _, s in rows]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)).collect()
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    want = dict(zip(order, mixing.fill_targets([sizes[s] for s in order], [(3, 1, 2)[k % 3] for k in range(len(order))], 1.5 * sum(sizes.values()), 2)))
+    source = {i: s for i, _, s in rows}
+    assert all(math.isclose(r["target"], want[source[r["doc_id"]]], rel_tol=1e-9) and r["source_size"] == sizes[source[r["doc_id"]]] for r in got)
+
+
+def test_arc_files(spark, tmp_path):
+    """Files of both versions, plain and compressed, to archives and back."""
+    import gzip
+
+    contents = {f"http://x/{v}/{i}": b"HTTP/1.0 200 OK\r\nA: b\r\n\r\n" + bytes([v * 10 + i]) * (200 * i) for v in (1, 2) for i in range(5)}
+    source = tmp_path / "in"
+    source.mkdir()
+    for v in (1, 2):
+        parts = [warc.arc_version_block(v), *(warc.arc_record(v, u, c) for u, c in contents.items() if f"/{v}/" in u)]
+        (source / f"v{v}.arc").write_bytes(b"".join(parts))
+        (source / f"z{v}.arc.gz").write_bytes(b"".join(map(gzip.compress, parts)))
+    rows = warc.read_arc(spark, str(source)).collect()
+    assert sorted((r["url"], bytes(r["content"])) for r in rows) == sorted([*contents.items()] * 2) and {r["status"] for r in rows} == {None, "200"}
+    warc.convert_archives(spark, str(source), f"{tmp_path}/out")
+    back = warc.read_archives(spark, f"{tmp_path}/out").collect()
+    assert sorted((r["url"], bytes(r["payload"])) for r in back) == sorted([(u, c.split(b"\r\n\r\n", 1)[1]) for u, c in contents.items()] * 2)
+    assert len({r["record_id"] for r in back}) == 10
+
+
+def test_archive_files_by_bytes(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "FILE_BYTES", 3000)
+    pages = spark.createDataFrame([(i, "u", "%05d" % i * 100) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, f"{tmp_path}/w")
+    assert len(list((tmp_path / "w").rglob("*.gz"))) >= 10
+    assert sorted(r["id"] for r in warc.read_archives(spark, f"{tmp_path}/w").collect()) == list(range(40))
+    assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+def test_toxicity_features():
+    """Each feature against plain loops over the words of a text."""
+    rng = random.Random(7)
+    pool = ["idiot", "Stupid!", "1diot", "m0ron,", "you", "Your", "HELLO", "Hi?!", "a", "b2b", "...", "tú", "normal", "grob", "x", "!!"]
+    given = [" ".join(rng.choice(pool) for _ in range(rng.randint(0, 30))) for _ in range(60)] + [None, "", "  \t", "idiot " * 3000]
+    lexicon, learnt = np.sort(words.hash_words(toxicity.INSULTS)), np.sort(words.hash_words(["grob"]))
+    got = toxicity.features(pa.array(given), lexicon, learnt)
+    plain = lambda w: re.sub(r"[^0-9a-z\x80-\U0010ffff]", "", low(w))
+    signs = dict(zip("0134578@$!|+", "oieastbasiit"))
+
+    def letters(w):
+        shown = "".join(signs.get(c, c) for c in low(w))
+        return "".join(c for c in shown if "a" <= c <= "z" or ord(c) > 127)
+
+    for text, row in zip(given, got):
+        text = text or ""
+        w = SPACED.findall(text)
+        n, data = max(len(w), 1), text.encode()
+        base_ = [plain(x) in toxicity.INSULTS for x in w]
+        own = [plain(x) == "grob" for x in w]
+        hidden = [letters(x) in [*toxicity.INSULTS, "grob"] and not a and not b for x, a, b in zip(w, base_, own)]
+        toxic = [a or b or c for a, b, c in zip(base_, own, hidden)]
+        you = [plain(x) in toxicity.SECOND_PERSON for x in w]
+        near = [t and any(you[max(0, i - toxicity.NEAR) : i + toxicity.NEAR + 1]) for i, t in enumerate(toxic)]
+        upper, letter = sum(65 <= c < 91 for c in data), sum(chr(c).isascii() and chr(c).isalpha() or c > 127 for c in data)
+        punct = [33 <= c < 48 or 58 <= c < 65 or 91 <= c < 97 or 123 <= c < 127 for c in data]
+        chars = max(len(data), 1)
+        want = [
+            sum(toxic) / n, min(sum(toxic), 20), math.log1p(len(w)), sum(base_) / n, min(sum(base_), 20), sum(own) / n, min(sum(own), 20), sum(hidden) / n, min(sum(hidden), 20), sum(near) / n, sum(you) / n,
+            upper / max(letter, 1), sum(x.isascii() and x.isupper() and x.isalpha() and len(x) > 2 for x in w) / n,
+            data.count(b"!") / chars, data.count(b"?") / chars, sum(punct) / chars, sum(a and b for a, b in zip(punct, punct[1:])) / chars,
+            sum(any(c.isdigit() for c in x) and any(c.isalpha() for c in x) for x in w) / n, sum(len(x.encode()) == 1 for x in w) / n,
+        ]
+        assert np.allclose(row, want), (text, dict(zip(toxicity.FEATURES, zip(row, want))))
+
+
+def test_isotonic():
+    """The nearest rising steps, by the means of all runs."""
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        x, y = rng.integers(0, 12, 30).astype(float), rng.integers(0, 2, 30).astype(float)
+        steps, values = toxicity.isotonic(x, y)
+        at = np.unique(x)
+        total, many = np.array([y[x == v].sum() for v in at]), np.array([(x == v).sum() for v in at])
+        mean = lambda i, j: total[i : j + 1].sum() / many[i : j + 1].sum()
+        want = [max(min(mean(i, j) for j in range(k, len(at))) for i in range(k + 1)) for k in range(len(at))]
+        assert np.allclose(np.interp(at, steps, values), want)
+
+
+def test_trees():
+    """Boosted trees give what walking each tree gives, and more rounds fit the training rows better."""
+    rng = np.random.default_rng(5)
+    x = rng.random((400, 4))
+    y = ((x[:, 0] > 0.5) & (x[:, 1] < 0.7) | (x[:, 2] > 0.9)).astype(int)
+    none = np.zeros(400, bool)
+    loss = []
+    for rounds in (1, 10, 60):
+        trees = toxicity.fit(x, y, none, rounds=rounds)
+        walked = []
+        for row in x[:40]:
+            total = trees.start
+            for f, c, leaf in zip(trees.feature, trees.cut, trees.leaf):
+                node = 0
+                while node < len(f):
+                    node = 2 * node + (2 if row[f[node]] > c[node] else 1)
+                total += leaf[node - len(f)]
+            walked.append(total)
+        m = trees.margin(x)
+        assert np.allclose(m[:40], walked)
+        loss.append(np.log1p(np.exp(-np.where(y, m, -m))).mean())
+    assert loss[0] > loss[1] > loss[2] and loss[2] < 0.1
