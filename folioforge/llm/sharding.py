@@ -84,7 +84,8 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shar
     while True:
         rows = rows.withColumn("cell", _next(F.col("taken")))
         directory = _level(rows.select("parent", "taken", "cell", "bytes", "h1"), shard_bytes, settled)
-        placed = rows.join(directory, ["parent", "cell"])
+        # a cell holds few rows: the directory grows with the documents and is never broadcast
+        placed = rows.join(directory.hint("merge"), ["parent", "cell"])
         shard = F.when(F.col("name") == "", "all").otherwise(F.col("name"))
         fits = placed.where("not over").select("row", "bytes", shard.alias("shard"), (F.col("taken") + F.col("depth")).cast("int").alias("depth"), F.lit(0).cast("long").alias("page"), F.col("held").alias("shard_bytes"))
         out = fits if out is None else out.unionByName(fits)
