@@ -62,3 +62,15 @@ def drop(df: DataFrame) -> None:
     """Delete a table that :func:`cut` has written, once nothing reads it any more."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         remove(df.sparkSession, path)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One file of any file system that Spark knows, in UTF-8; it appears whole."""
+    jvm = spark.sparkContext._jvm
+    where, beside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = system.create(beside)
+    out.write(text.encode())
+    out.close()
+    system.delete(where, False)
+    system.rename(beside, where)

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioforge.operators import canvas, catalogue
-from folioforge.sources.files import read_documents, read_graphml
+from folioforge.sources.files import read_canvases, read_documents, read_graphml
+from folioforge.sources.pdf import pdf_text
 from folioforge.streaming.ingest import ingest
 
 ID = ("a" * 16, "b" * 16, "c" * 16)
@@ -111,3 +112,51 @@ def test_graphml(spark, tmp_path):
     nodes, edges = read_graphml(spark, str(tmp_path / "g.graphml"))
     assert {r["id"]: r["attributes"] for r in nodes.collect()} == {"A": {"entity_type": "Paper"}, "B": {}}
     assert [tuple(r) for r in edges.select("src", "tgt", F.col("attributes")["weight"]).collect()] == [("A", "B", "2.0")]
+
+
+def pdf(*pages, flate=True):
+    import zlib
+
+    out, kids, number = [b"%PDF-1.4\n"], [], 10
+    for text in pages:
+        shown = b"BT /F1 12 Tf 72 700 Td (" + text.encode("cp1252").replace(b"(", b"\\(").replace(b")", b"\\)") + b") Tj ET" if text is not None else b""
+        data = zlib.compress(shown) if flate else shown
+        out.append(b"%d 0 obj << /Length %d %s >> stream\n%s\nendstream endobj\n" % (number + 1, len(data), b"/Filter /FlateDecode" if flate else b"", data))
+        out.append(b"%d 0 obj << /Type /Page /Parent 2 0 R /Contents %d 0 R >> endobj\n" % (number, number + 1))
+        kids.append(number)
+        number += 2
+    out.append(b"2 0 obj << /Type /Pages /Kids [%s] /Count %d >> endobj\n" % (b" ".join(b"%d 0 R" % k for k in kids[::-1]), len(kids)))
+    return b"".join([*out, b"1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\ntrailer << /Root 1 0 R >>\n%%EOF"])
+
+
+def test_pdf(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(pdf("Second (page)", None, "First é page", flate=True))
+    (tmp_path / "b.PDF").write_bytes(pdf("Plain", flate=False))
+    (tmp_path / "c.pdf").write_bytes(b"no pdf at all")
+    (tmp_path / "d.pdf").write_bytes(pdf(None))
+    (tmp_path / "e.txt").write_text("text")
+    rows = read_documents(spark, str(tmp_path)).collect()
+    assert [(r["path"][-5:], r["text"], r["status"]) for r in rows] == [("a.pdf", "First é page\n\nSecond (page)", "ok"), ("b.PDF", "Plain", "ok"), ("c.pdf", None, "unreadable"), ("d.pdf", "", "empty"), ("e.txt", "text", "ok")]
+    assert pdf_text(b"%PDF-1.4 /Encrypt") is None and pdf_text(b"%PDF-1.5\n5 0 obj << /Type /Pages /Kids [6 0 R] >> endobj 6 0 obj << /Type /Page /Contents 7 0 R >> endobj 7 0 obj << >> stream\nBT <48656C6C6F> Tj T* [(wo) -20 (rld)] TJ ET\nendstream endobj") == "Hello\nworld"
+
+
+def test_missing_folder(spark, tmp_path):
+    with pytest.warns(UserWarning, match="no folder"):
+        assert read_documents(spark, f"{tmp_path}/nowhere").count() == 0
+
+
+def test_graphml_again(spark, tmp_path):
+    """A node in two files and parallel edges: what is said last holds."""
+    head = '<graphml><key id="d0" for="node" attr.name="entity_type"/><key id="d1" for="edge" attr.name="weight"/><graph>'
+    (tmp_path / "a.graphml").write_text(head + '<node id="A"><data key="d0">Paper</data></node><edge source="A" target="B"><data key="d1">1</data></edge><edge source="A" target="B"><data key="d1">2</data></edge></graph></graphml>')
+    (tmp_path / "b.graphml").write_text(head + '<node id="A"><data key="d0">Author</data></node><node id="B"/></graph></graphml>')
+    nodes, edges = read_graphml(spark, str(tmp_path))
+    assert {r["id"]: r["attributes"] for r in nodes.collect()} == {"A": {"entity_type": "Author"}, "B": {}}
+    assert [r["attributes"] for r in edges.collect()] == [{"weight": "2"}]
+
+
+def test_canvas_files(spark, tmp_path):
+    (tmp_path / "good.canvas").write_text(json.dumps(good()))
+    (tmp_path / "bad.canvas").write_bytes(b"\xff\xfe")
+    found = canvas.verify(read_canvases(spark, str(tmp_path))).collect()
+    assert [(r["path"][-10:], r["rule"]) for r in found] == [("bad.canvas", "unreadable")]
