@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from folioforge.functions import text as T
 from folioforge.operators import catalogue, graph, kg, retrieve
 from folioforge.operators.components import connected_components
+from folioforge.plans.storage import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -212,33 +213,44 @@ def hash_embedding(spark, sf_dir):
 
 @query
 def cosine_topk(spark, sf_dir):
-    """The five nearest chunks of vectors for every fiftieth vector."""
+    """The five nearest vectors for every fiftieth vector."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", retrieve.unit(F.col("embedding").cast("array<double>")).alias("v"))
     return retrieve.top_k(v.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), v.withColumnRenamed("vec_id", "id"), 5, retrieve.OFFLINE_SCORE)
 
 
+#: Names that questions are searched for.
+NAMES = ["Then", "of the", "est", "ung"]
+
+
 @query
 def retrieve_modes(spark, sf_dir):
-    """Items of the benchmark as questions in hybrid and mix mode, over nations, their regions and suppliers."""
-    nation, region, supplier = (table(spark, sf_dir, n) for n in ("nation", "region", "supplier"))
-    questions = nation.where("n_nationkey % 5 = 0").select(F.col("n_nationkey").cast("long").alias("query_id"), F.concat(F.col("n_name"), F.lit(" supplier")).alias("text"))
-    embed = lambda rows, extra=(): rows.join(retrieve.embed(rows, "id", "text"), "id").select("id", *extra, "v")
-    entities = embed(nation.select(F.col("n_name").alias("id"), F.col("n_name").alias("text")))
-    relations = embed(nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat_ws("-", "n_name", "r_name").alias("id"), F.concat_ws(" ", "n_name", "r_name").alias("text"), F.col("n_name").alias("src"), F.col("r_name").alias("tgt")), ("src", "tgt"))
-    chunk = embed(supplier.select(F.col("s_name").alias("id"), F.concat(F.lit("supplier "), "s_name").alias("text")))
-    q = questions.join(retrieve.embed(questions, "query_id", "text"), "query_id").select("query_id", "v")
-    return retrieve.retrieve(q, entities, relations, chunk, ["hybrid", "mix"], 3, retrieve.OFFLINE_SCORE)
+    """Every item of the benchmark as a question in hybrid and mix mode, over the whole graph of orders and the chunks of all documents."""
+    nodes, edges = graph_of(spark, sf_dir)
+    embed = lambda rows, *extra: rows.join(retrieve.embed(rows, "id", "text"), "id").select("id", *extra, "v")
+    entities = cut(embed(nodes.select("id", F.concat_ws(" ", "id", "entity_type").alias("text"))), "entity-vectors")
+    relations = edges.select(F.concat_ws("|", F.least("src", "tgt"), F.greatest("src", "tgt")).alias("id"), "src", "tgt", F.concat_ws(" ", "keywords", F.least("src", "tgt"), F.greatest("src", "tgt")).alias("text"))
+    relations = cut(embed(relations, "src", "tgt"), "relation-vectors")
+    parts = retrieve.chunks(table(spark, sf_dir, "documents")).select(F.concat_ws("-", "doc_id", "chunk_order_index").alias("id"), F.col("content").alias("text"))
+    questions = cut(retrieve.question_vectors(table(spark, sf_dir, "benchmark"), NAMES, id_col="item_id"), "question-vectors")
+    return retrieve.retrieve(questions, entities, relations, cut(embed(parts), "chunk-vectors"), ["hybrid", "mix"], 3, retrieve.OFFLINE_SCORE)
 
 
 @query
 def entity_tagging(spark, sf_dir):
-    names = spark.createDataFrame([("the", "Concept"), ("aux", "Method"), ("der", "Concept"), ("que", "Metric")], "name string, type string")
-    return retrieve.tag_entities(table(spark, sf_dir, "documents"), names)
+    return retrieve.tag_entities(table(spark, sf_dir, "documents"), [("the", "Concept"), ("aux", "Method"), ("der", "Concept"), ("que", "Metric")])
+
+
+@query
+def extraction(spark, sf_dir):
+    """What the deterministic extractor says of every document: names of a dictionary, and relations of those that stand in it together."""
+    tagged = cut(retrieve.tag_entities(table(spark, sf_dir, "documents"), [("the", "Concept"), ("aux", "Method"), ("der", "Concept"), ("que", "Metric")]), "tagged")
+    related = retrieve.tag_relations(tagged, [("the", "der", "alike", "Both are articles"), ("aux", "que", "French", "")])
+    return retrieve.extraction_rows(tagged, related, {"the": "English", "der": "German"})
 
 
 @query
 def question_keywords(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(retrieve.keywords(F.col("text"), ["Then", "of the", "est", "ung"]), "|").alias("keywords"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(retrieve.keywords(F.col("text"), NAMES), "|").alias("keywords"))
 
 
 def part_boxes(spark, sf_dir) -> DataFrame:

@@ -154,22 +154,37 @@ with s as (
 )
 select query_id, id, score, rank::int as rank from (select *, row_number() over (partition by query_id order by score desc, id) as rank from s where score >= 0.05) where rank <= 5
 """
-ORACLES["retrieve_modes"] = f"""
-with q as (select n_nationkey::bigint as id, n_name || ' supplier' as text from nation where n_nationkey % 5 = 0),
-e as (select n_name as id, n_name as text from nation),
-r as (select n_name || '-' || r_name as id, n_name || ' ' || r_name as text, n_name as src, r_name as tgt from nation join region on n_regionkey = r_regionkey),
-c as (select s_name as id, 'supplier ' || s_name as text from supplier),
-{_EMBED.format("q")}, {_EMBED.format("e")}, {_EMBED.format("r")}, {_EMBED.format("c")},
-near as (
-  select * from (select *, row_number() over (partition by query_id, kind order by score desc, id) as rank from (
-    select q_v.id as query_id, kind, x.id, round(list_dot_product(q_v.v, x.v), 6) as score
-    from q_v, (select 'entity' as kind, * from e_v union all select 'relation', * from r_v union all select 'chunk', * from c_v) x
-  ) where score >= 0.05) where rank <= 3
+ORACLES["retrieve_modes"] = "with " + _RECORDS + f"""
+, asked as (
+  select item_id as q, text, coalesce(nullif(concat_ws(', ', case when contains(lower(text), 'then') then 'Then' end, case when contains(lower(text), 'of the') then 'of the' end,
+    case when contains(lower(text), 'est') then 'est' end, case when contains(lower(text), 'ung') then 'ung' end), ''), 'overview') as low from benchmark
+), links as (
+  select least(src_id, tgt_id) || '|' || greatest(src_id, tgt_id) as id, least(src_id, tgt_id) as src, greatest(src_id, tgt_id) as tgt, keywords from edges
+), x as (
+  select 'low|' || q as id, low as text from asked union all select 'high|' || q, 'retrieval-augmented generation, long-document understanding' from asked union all select 'text|' || q, text from asked
+  union all select 'entity|' || entity_name, entity_name || ' ' || entity_type from nodes
+  union all select 'relation|' || id, keywords || ' ' || src || ' ' || tgt from links
+  union all select 'chunk|' || doc_id || '-' || (start // 3800), substr(text, start::int + 1, 4000) from documents, unnest(range(0, length(text), 3800)) as u(start)
+), {_EMBED.format("x")}, near as (
+  select q, kind, id from (
+    select *, row_number() over (partition by q, kind order by score desc, id) as rank from (
+      select split_part(a.id, '|', 2)::bigint as q, split_part(b.id, '|', 1) as kind, substr(b.id, instr(b.id, '|') + 1) as id, round(list_dot_product(a.v, b.v), 6) as score
+      from x_v a join x_v b on split_part(a.id, '|', 1) = case split_part(b.id, '|', 1) when 'entity' then 'low' when 'relation' then 'high' when 'chunk' then 'text' end
+    ) where score >= 0.05
+  ) where rank <= 3
 ), both_ways as (
-  select query_id, kind, id from near where kind <> 'chunk'
-  union select query_id, 'relation', r.id from near join r on near.id in (r.src, r.tgt) where kind = 'entity'
-  union select query_id, 'entity', unnest([r.src, r.tgt]) from near join r on near.id = r.id where kind = 'relation'
+  select q, kind, id from near where kind <> 'chunk'
+  union select q, 'relation', links.id from near join links on near.id = links.src or near.id = links.tgt where kind = 'entity'
+  union select q, 'entity', unnest([src, tgt]) from near join links on near.id = links.id where kind = 'relation'
 )
-select query_id, mode, kind, id from both_ways, (values ('hybrid'), ('mix')) m(mode)
-union select query_id, 'mix', kind, id from near where kind = 'chunk'
+select q as query_id, mode, kind, id from both_ways, (values ('hybrid'), ('mix')) m(mode)
+union select q, 'mix', kind, id from near where kind = 'chunk'
+"""
+ORACLES["extraction"] = """
+with held as (
+  select doc_id, contains(lower(text), 'the') as a, contains(lower(text), 'aux') as b, contains(lower(text), 'der') as c, contains(lower(text), 'que') as d from documents
+)
+select doc_id, concat_ws(chr(10), case when b then 'entity<|#|>aux<|#|>Method<|#|>' end, case when c then 'entity<|#|>der<|#|>Concept<|#|>German' end, case when d then 'entity<|#|>que<|#|>Metric<|#|>' end,
+  case when a then 'entity<|#|>the<|#|>Concept<|#|>English' end, case when b and d then 'relation<|#|>aux<|#|>que<|#|>French<|#|>' end, case when a and c then 'relation<|#|>the<|#|>der<|#|>alike<|#|>Both are articles' end, '<|COMPLETE|>') as content
+from held where a or b or c or d
 """
