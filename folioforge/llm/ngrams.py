@@ -22,7 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.llm import words
@@ -40,6 +40,8 @@ TILE = 4096
 #: What a chance candidate costs, in signatures.
 CHANCE_COST = 50.0
 _MASK_BITS = 23
+#: Bits of the bitmap (16 MB) that leaves most signatures of one set out before they are joined.
+SIGN_BITS = 27
 _MULTIPLIERS = np.random.default_rng(77).integers(1, 2**63, size=64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -227,6 +229,21 @@ def candidate_edges(sets: DataFrame) -> DataFrame:
     sign = sets.select("id", (F.col("spare") * 2).alias("tag"), F.explode("signs").alias("sign"))
     sign = sign.unionByName(sets.select("id", (F.col("next_spare") * 2 + 1).alias("tag"), F.explode("next_signs").alias("sign")))
     often = cut(sign.groupBy("sign").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "ngram-often")
+    shared = sets.sparkSession.sparkContext.broadcast(np.packbits(_bitmap(F.col("sign").bitwiseAND((1 << SIGN_BITS) - 1) + 1, often, SIGN_BITS), bitorder="little"))
+
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, mask = shared.value, np.uint64((1 << SIGN_BITS) - 1)
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for last in (0, 1):
+                signs, spare = batch.column(1 + 2 * last), batch.column(2 + 2 * last).to_numpy().astype(np.int64)
+                values = signs.flatten().to_numpy().view(np.uint64)
+                at = values & mask
+                keep = np.flatnonzero(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+                row = np.repeat(np.arange(len(ids)), np.diff(signs.offsets.to_numpy()))[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(2 * spare[row] + last), pa.array(values[keep].view(np.int64))], ["id", "tag", "sign"])
+
+    sign = sets.select("id", "signs", "spare", "next_signs", "next_spare").mapInArrow(repeated, "id long, tag long, sign long")
     # a set's own signatures: as many as its text makes
     rank = F.row_number().over(Window.partitionBy("id", "tag").orderBy(F.desc("times"), "sign"))
     kept = cut(sign.join(often, "sign").withColumn("rank", rank).where("rank > shiftright(tag, 1)").select("id", "sign"), "ngram-kept")
@@ -270,12 +287,11 @@ def compare_sets(percent: int):
     return compare
 
 
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """Which residues of a hash the ids have: a bitmap of fixed size (1 MB), to leave most other
-    documents out before a join."""
-    at = _residue(F.col("id"))
-    parts = ids.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
-    out = np.zeros(1 << _MASK_BITS, bool)
+def _bitmap(at: Column, rows: DataFrame, bits: int) -> np.ndarray:
+    """Which of the numbers from 1 to 2**bits ``at`` takes: a bitmap of fixed size, to leave most other rows out before
+    a join."""
+    parts = rows.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
+    out = np.zeros(1 << bits, bool)
     for r in parts:
         out[(r["bucket"] - 1) << 15 : r["bucket"] << 15] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")
     return out
@@ -310,7 +326,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = cut(sets.groupBy(*alike).agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead <> last").drop("last"), "ngram-copies")
     leads = sets.join(copies, alike, "left").where("lead is null or lead = id").select("id").distinct()
     members = cut(leads.join(candidates.select(F.col("node").alias("id"), F.col("root").alias("grp")), "id"), "ngram-members")
-    shared = spark.sparkContext.broadcast(_bitmap(members))
+    shared = spark.sparkContext.broadcast(_bitmap(_residue(F.col("id")), members, _MASK_BITS))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -113,3 +113,27 @@ with recursive e as (
 select vec_id, coalesce(n, 0)::bigint as n_links, root as component_id, vec_id = root as kept
 from e join roots on roots.a = vec_id left join counts on counts.a = vec_id
 """
+
+ORACLES["op6_near_duplicates"] = r"""
+with recursive w as (
+  select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) as w from documents
+), s as (
+  select distinct doc_id, case when len(w) >= 3 then w[j] || ' ' || w[j + 1] || ' ' || w[j + 2] else array_to_string(w, ' ') end as gram
+  from w, unnest(range(1, greatest(2, len(w) - 1))) as u(j) where len(w) > 0
+), n as (
+  select doc_id, count(*) as n from s group by doc_id
+), pairs as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b using (gram) where a.doc_id < b.doc_id group by all
+), links as (
+  select a, b from pairs join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 90 * (x.n + y.n - c)
+), both_ways as (
+  select a, b from links union all select b, a from links
+), reach as (
+  select doc_id as a, doc_id as b from w
+  union
+  select reach.a, both_ways.b from reach join both_ways on both_ways.a = reach.b
+), roots as (
+  select a, min(b) as root from reach group by a
+)
+select w.doc_id, coalesce(n, 0)::bigint as n_shingles, root as component_id from w join roots on roots.a = w.doc_id left join n on n.doc_id = w.doc_id
+"""
