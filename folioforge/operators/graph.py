@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from folioforge.functions.text import normalize_type, split_list
 from folioforge.operators.components import connected_components
 from folioforge.operators.kg import color_of, edge_color
 from folioforge.plans.storage import cut
 
+#: Boxes of a chunk, about; rows of one chunk that are compared with another at a time.
+CHUNK_BOXES, STRIP = 2048, 256
 
 def rebuild(nodes: DataFrame, edges: DataFrame, order: str = "ordinal") -> tuple[DataFrame, DataFrame]:
     """Nodes with an id; edges between two of them that are no loops, one for each pair, the last by ``order``."""
@@ -102,12 +108,49 @@ def type_histogram(nodes: DataFrame, key: str = "entity_type") -> DataFrame:
 def box_overlaps(boxes: DataFrame, cell: int = 520, gap: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
     """Pairs (a, b) of boxes (id, x, y, width, height) that overlap, among those that agree in ``by``; touching
     is no overlap. A box is put into every cell of a grid that it reaches, and pairs are met in the cell of
-    their common corner."""
-    reach = lambda at, size: F.sequence(F.floor(at / cell), F.floor((at + size + gap) / cell))
-    cells = boxes.select(*by, "id", "x", "y", "width", "height", F.explode(reach(F.col("x"), F.col("width"))).alias("cx")).select("*", F.explode(reach(F.col("y"), F.col("height"))).alias("cy"))
-    a, b = cells.alias("a"), cells.alias("b")
-    meets = (F.col("a.id") < F.col("b.id")) & (F.col("a.x") < F.col("b.x") + F.col("b.width") + gap) & (F.col("b.x") < F.col("a.x") + F.col("a.width") + gap) & (F.col("a.y") < F.col("b.y") + F.col("b.height") + gap) & (F.col("b.y") < F.col("a.y") + F.col("a.height") + gap)
-    corner = (F.col("a.cx") == F.floor(F.greatest("a.x", "b.x") / cell)) & (F.col("a.cy") == F.floor(F.greatest("a.y", "b.y") / cell))
-    for column in ("cx", "cy", *by):
-        meets = meets & (F.col(f"a.{column}") == F.col(f"b.{column}"))
-    return a.join(b, meets & corner).select(*(F.col(f"a.{c}").alias(c) for c in by), F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    their common corner. A full cell is dealt by a hash into chunks; a task compares two chunks, or one with itself."""
+    reach = lambda at, end: F.sequence(F.floor(at / cell), F.floor(F.col(end) / cell))
+    cells = boxes.select(*by, "id", "x", "y", (F.col("x") + F.col("width") + gap).alias("__right"), (F.col("y") + F.col("height") + gap).alias("__bottom")).dropna(subset=["id", *by])
+    cells = cells.select("*", F.explode(reach(F.col("x"), "__right")).alias("__cx")).select("*", F.explode(reach(F.col("y"), "__bottom")).alias("__cy"))
+    cells = cells.select("*", F.floor(F.col("x") / cell).alias("__hx"), F.floor(F.col("y") / cell).alias("__hy"))
+    where = [*by, "__cx", "__cy"]
+    full = cells.groupBy(*where).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*where, F.ceil(F.col("n") / CHUNK_BOXES).cast("int").alias("__m"))
+    placed = cells.join(full, where).withColumn("__c", F.pmod(F.xxhash64("id", "x", "y"), F.col("__m")).cast("int"))
+    c = F.col("__c")
+    tasks = F.transform(F.sequence(F.lit(0), F.col("__m") - 1), lambda o: F.struct(F.least(c, o).alias("__lo"), F.greatest(c, o).alias("__hi"), (o < c).alias("__second")))
+    dealt = placed.select(*where, "id", "x", "y", "__right", "__bottom", "__hx", "__hy", F.explode(tasks).alias("__t")).select("*", "__t.*").drop("__t")
+    kinds = {f.name: f.dataType for f in boxes.schema}
+    schema = StructType([*(StructField(k, kinds[k]) for k in by), StructField("a", kinds["id"]), StructField("b", kinds["id"])])
+    return dealt.groupBy(*where, "__lo", "__hi").applyInArrow(_overlapping(by), schema)
+
+
+def _overlapping(by: tuple[str, ...]):
+    """Rows of one chunk of a cell and of another, or of one alone; the pairs of them that overlap."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        rank = pc.rank(table.column("id"), tiebreaker="min").to_numpy()
+        x, y, right, bottom, hx, hy = (table.column(c).to_numpy() for c in ("x", "y", "__right", "__bottom", "__hx", "__hy"))
+        cx, cy, lo, hi = (table.column(c)[0].as_py() for c in ("__cx", "__cy", "__lo", "__hi"))
+        second = table.column("__second").to_numpy()
+        rows, columns = (np.arange(len(rank)),) * 2 if lo == hi else (np.flatnonzero(~second), np.flatnonzero(second))
+        ids, one = table.column("id").combine_chunks(), table.select(list(by)).slice(0, 1)
+        said = {c: one.column(c).combine_chunks() for c in by}
+        parts = []
+        for at in range(0, len(rows), STRIP):
+            i, j = rows[at : at + STRIP, None], columns[None]
+            meets = rank[i] < rank[j] if lo == hi else rank[i] != rank[j]
+            meets &= x[i] < right[j]
+            meets &= x[j] < right[i]
+            meets &= y[i] < bottom[j]
+            meets &= y[j] < bottom[i]
+            meets &= np.maximum(hx[i], hx[j]) == cx
+            meets &= np.maximum(hy[i], hy[j]) == cy
+            i, j = np.nonzero(meets)
+            i, j = rows[i + at], columns[j]
+            turned = rank[i] > rank[j]
+            i, j = np.where(turned, j, i), np.where(turned, i, j)
+            of = {c: v.take(pa.array(np.zeros(len(i), np.int64))) for c, v in said.items()}
+            parts.append(pa.table({**of, "a": ids.take(pa.array(i)), "b": ids.take(pa.array(j))}))
+        return pa.concat_tables(parts) if parts else pa.table({**{c: v.slice(0, 0) for c, v in said.items()}, "a": ids.slice(0, 0), "b": ids.slice(0, 0)})
+
+    return compare
